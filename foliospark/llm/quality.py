@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import texts
 
 BUCKETS = 1 << 16
-#: Added to each bucket's count of either multinomial.
-SMOOTHING = 1.0
+#: N-grams at the corpus-wide share of trusted ones that each bucket counts beforehand: rare buckets say little, so that a
+#: good document without a label isn't held against its own n-grams.
+SMOOTHING = 60.0
 #: About as many labelled good documents make the trusted multinomial, dealt by a hash of doc_id.
 TRUSTED = 20_000
 #: Documents of at least this mean log ratio stay.
-THRESHOLD = -0.08
+THRESHOLD = -0.045
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Fewest words, and most per cent of repeated words.
@@ -107,7 +108,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = grams.groupBy("b").agg(F.sum("good").cast("double").alias("t"), F.count("*").cast("double").alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0.0)
     sums = every.agg(F.sum("t").alias("_t"), F.sum("r").alias("_r"), F.sort_array(F.collect_list(F.struct("b", "t", "r"))).alias("x"))
-    ratio = lambda x: F.log((x["t"] + SMOOTHING) / (F.col("_t") + SMOOTHING * BUCKETS)) - F.log((x["r"] + SMOOTHING) / (F.col("_r") + SMOOTHING * BUCKETS))
+    share = (F.col("_t") + 1) / (F.col("_r") + 1)
+    ratio = lambda x: F.log((x["t"] + SMOOTHING * share) / (x["r"] + SMOOTHING)) - F.log(share)
     return sums.select(F.transform("x", ratio).alias("ratios"))
 
 
