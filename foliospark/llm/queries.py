@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, packing, pii, quality, secret_scan, sharding, toxicity
+from foliospark.llm import bpe, embedding_dedup, packing, pii, quality, secret_scan, sharding, toxicity
 from foliospark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_secret_scan, op6_pii, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
