@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, embedding_dedup, packing, pii, quality, secret_scan, sharding, toxicity
+from foliospark.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality, secret_scan, sharding, toxicity
 from foliospark.llm.common import table
 
 
@@ -23,6 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -54,7 +60,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
