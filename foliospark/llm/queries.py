@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality, secret_scan, sharding, toxicity
+from foliospark.llm import bpe, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, secret_scan, sharding, toxicity
 from foliospark.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op7_ngram_join, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
