@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import re
 from array import array as packed
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         import regex
         import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -66,15 +68,16 @@ class ByteBpe:
         self.codec = ChunkCodec(self.chunk_ids)
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        plain = re.compile(rb" ?[A-Za-z]+\Z").match
+        plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         pieces: list[str] = []
         counts: list[int] = []
         for c in chunks:
-            if plain(c):
-                pieces.append(c.decode("ascii"))
+            text = c.decode("utf-8", "replace")
+            if plain(text):
+                pieces.append(text)
                 counts.append(1)
             else:
-                found = self.pieces(c.decode("utf-8", "replace"))
+                found = self.pieces(text)
                 pieces += found
                 counts.append(len(found))
         distinct = list(dict.fromkeys(pieces))

@@ -14,18 +14,22 @@ REMEMBERED = 600_000
 
 
 def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where chunks start: at texts, at a lone space or line feed between visible ASCII, and where such a letter or digit
-    meets one of `.,;:`. There the pre-tokenisers of both vocabularies always end a piece, whatever stands around."""
+    """Where chunks start: at texts, at a lone space or line feed between visible characters, and where an ASCII letter or
+    digit meets one of `.,;:`. There the pre-tokenisers of both vocabularies always end a piece, whatever stands around.
+    Visible are here ASCII, and U+00C0 to U+02FF, whose first bytes are C3 to CB; other neighbours make longer chunks."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     start = np.zeros(n, bool)
     if n > 2:
         seen = (data > 0x20) & (data < 0x7F)
+        latin = (data >= 0xC3) & (data <= 0xCB)
+        after = seen.copy()
+        after[1:] |= latin[:-1]
         low = data | 0x20
         word = ((low >= 0x61) & (low <= 0x7A)) | ((data >= 0x30) & (data <= 0x39))
         mid = data[1:-1]
-        start[1:-1] = ((mid == 0x20) | (mid == 0x0A)) & seen[:-2] & seen[2:]
+        start[1:-1] = ((mid == 0x20) | (mid == 0x0A)) & after[:-2] & (seen | latin)[2:]
         start[1:] |= word[:-1] & ((data[1:] == 0x2E) | (data[1:] == 0x2C) | (data[1:] == 0x3B) | (data[1:] == 0x3A))
     first = at[:-1]
     start[first[first < n]] = True

@@ -9,6 +9,7 @@ is. Executors number the documents and look their ranges up; the driver sees cou
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array as packed
@@ -24,6 +25,8 @@ from foliospark.llm.chunks import ChunkCodec
 from foliospark.llm.common import flat, numbered, partitions, slices, texts, written
 
 LENGTH = 2048
+#: Words that one call of the library encodes.
+TOGETHER = 2000
 #: The id that ends each document.
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,22 +38,36 @@ class WordBpe:
     """The word-end BPE file of the tokenizers library, over distinct chunks. ASCII capitals are folded before."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = Tokenizer(self.whole.model)
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.codec = ChunkCodec(self.chunk_ids)
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Of words of lower-case letters that no normalisation changes: many in one text, told apart by their word ends."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            ids = np.array(self.words.encode_batch_fast([" ".join(words[i : i + TOGETHER])], add_special_tokens=False)[0].ids, "<u4")
+            raw, to = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out += [raw[a:z] for a, z in zip([0, *to], to, strict=False)]
+        return out
+
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        plain = re.compile(rb"[a-z]+\Z").match
-        stripped = [c.lstrip(b" \n") for c in chunks]
+        plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        stripped = [c.decode("utf-8", "replace").lstrip(" \n") for c in chunks]
         distinct = list(dict.fromkeys(stripped))
         words, other = [c for c in distinct if plain(c)], [c for c in distinct if not plain(c)]
-        known = {}
-        for tool, part in ((self.model, words), (self.whole, other)):
-            coded = tool.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            known.update(zip(part, (packed("I", e.ids).tobytes() for e in coded), strict=True))
+        known = dict(zip(words, self.word_ids(words), strict=True))
+        coded = self.whole.encode_batch_fast(other, add_special_tokens=False)
+        known.update(zip(other, (packed("I", e.ids).tobytes() for e in coded), strict=True))
         return [known[c] for c in stripped]
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
