@@ -17,12 +17,16 @@ PATTERNS = [
 ]
 
 
+def numbered(kind: str):  # noqa: ANN201
+    return lambda v, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("n"), v.alias("value"))
+
+
 def matches(text: Column) -> Column:
     """array of (kind, n, value): each pattern sees what the ones before it left."""
     rest, found = text, []
     for kind, pattern in PATTERNS:
         values = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        found.append(F.transform(values, lambda v, i, k=kind: F.struct(F.lit(k).alias("kind"), (i + 1).alias("n"), v.alias("value"))))
+        found.append(F.transform(values, numbered(kind)))
         rest = F.regexp_replace(rest, pattern, " ")
     return reduce(F.concat, found)
 
