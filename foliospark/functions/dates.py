@@ -47,7 +47,7 @@ def loose(text: Column) -> Column:
 
 def months(start: Column, end: Column) -> Column:
     n = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) - F.when(F.day(end) < F.day(start), 1).otherwise(0)
-    return F.greatest(n, F.lit(0))
+    return F.when(n.isNotNull(), F.greatest(n, F.lit(0)))
 
 
 def duration(start: Column, end: Column, as_of: Column) -> Column:

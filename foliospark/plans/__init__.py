@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from foliospark.plans import documents, retrieval, usage
+from foliospark.plans import documents, relational, retrieval, streams, usage
 from foliospark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents", "retrieval", "usage"]
+__all__ = ["QUERIES", "SQL", "documents", "relational", "retrieval", "streams", "usage"]

@@ -80,7 +80,7 @@ def blocked(ip: Column) -> Column:
 def table_rows(text: Column) -> Column:
     """Pipe-table lines of a Markdown text as arrays of cells, without the dashes under the header."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~F.replace(F.translate(F.trim(x), "|:- ", ""), F.lit(" "), F.lit("")).eqNullSafe(""))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
