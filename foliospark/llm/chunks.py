@@ -10,7 +10,7 @@ import pyarrow as pa
 from foliospark.llm.common import spread
 
 #: Most distinct chunks that a worker remembers between batches; then it starts afresh. Bounds memory, never results.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
