@@ -50,10 +50,19 @@ def months(start: Column, end: Column) -> Column:
     return F.when(n.isNotNull(), F.greatest(n, F.lit(0)))
 
 
+def once(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value worked out once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def duration(start: Column, end: Column, as_of: Column) -> Column:
     """1y 9m between two free-text dates; up to as_of where the end can't be read, null where the start can't."""
-    n = months(loose(start), F.coalesce(loose(end), as_of))
-    years, rest = F.floor(n / 12), n % 12
-    y = F.when(years > 0, F.concat(years.cast("string"), F.lit("y")))
-    m = F.when((rest > 0) | (years == 0), F.concat(rest.cast("string"), F.lit("m")))
-    return F.when(n.isNotNull(), F.concat_ws(" ", y, m))
+
+    def written(n: Column) -> Column:
+        years, rest = F.floor(n / 12), n % 12
+        y = F.when(years > 0, F.concat(years.cast("string"), F.lit("y")))
+        m = F.when((rest > 0) | (years == 0), F.concat(rest.cast("string"), F.lit("m")))
+        return F.when(n.isNotNull(), F.concat_ws(" ", y, m))
+
+    dates = F.struct(loose(start).alias("s"), F.coalesce(loose(end), as_of).alias("e"))
+    return once(dates, lambda p: once(months(p["s"], p["e"]), written))

@@ -160,3 +160,55 @@ def test_limiter_and_streams(spark, tmp_path, sf_dir):
     assert got == want
     stream.upserted(stream.source(spark, f"{sf_dir}/events.parquet"), "user_id", str(tmp_path / "latest"))
     assert spark.read.parquet(str(tmp_path / "latest" / "v0")).count() == events.select("user_id").distinct().count()
+
+
+def test_chunks_cover_pages(spark):
+    from foliospark.operators import chunk
+
+    rnd = random.Random(4)
+    text_ = " ".join(f"Sentence {i} has {' '.join(rnd.choice('abc') for _ in range(rnd.randint(1, 12)))}." for i in range(60)) + " " + "x" * 900
+    for unit in ("token", "char"):
+        parts = chunk.split(text_, 60, 20, unit)
+        assert all(chunk.measured(p, unit) <= 60 for p in parts)
+        assert set(" ".join(parts).split()) >= set(text_.split()) - {"x" * 900}
+    assert chunk.split("  ") == []
+    rows = chunk.chunked(spark.createDataFrame([(1, 1, text_), (2, 1, " "), (3, 1, None)], "doc_id long, page_num int, content string"), "hierarchy", parent=100, child=30).collect()
+    parents = {r["chunk_id"] for r in rows if r["level"] == "parent"}
+    children = [r for r in rows if r["level"] == "child"]
+    assert parents and all(r["parent_id"] in parents for r in children) and {r["parent_id"] for r in children} == parents
+    assert {r["doc_id"] for r in rows} == {1}
+    flat = chunk.chunked(spark.createDataFrame([(1, 1, text_)], "doc_id long, page_num int, content string"), "hierarchy", parent=30, child=30).collect()
+    assert {r["level"] for r in flat} == {"flat"}
+
+
+def test_verified_items(spark):
+    from foliospark.operators import records
+
+    pair = records.date_pair([{"name": n, "type": "string"} for n in ("name", "start_date", "end_date", "total_time")])
+    assert pair == {"start": "start_date", "end": "end_date", "duration": "total_time"}
+    assert records.date_pair([{"name": "candidate_name", "type": "string"}]) == {}
+    jobs = [("TCS", "2019-06", "2021-03", None), ("Infosys", "2021-04", "2023-12", "3 years")]
+    df = spark.createDataFrame([(1, jobs)], "id int, jobs array<struct<name:string,start_date:string,end_date:string,total_time:string>>")
+    got = df.select(records.verified(F.col("jobs"), pair, F.lit("2024-01-01").cast("date")).alias("j")).first()["j"]
+    assert [(j["total_time"], j["verification"]["computed"], j["verification"]["match"], j["verification"]["backfilled"]) for j in got] == [("1y 9m", "1y 9m", None, True), ("3 years", "2y 8m", False, False)]
+
+
+def test_provider_errors_and_stages(spark, tmp_path):
+    from foliospark.operators import adapters
+
+    class Failing:
+        def answer(self, prompts):
+            raise ValueError("down")
+
+    out = adapters.answered(spark.createDataFrame([("k", "p")], "key string, prompt string"), Failing()).first()
+    assert out["answer"] is None and out["error"] == "down"
+    runs = []
+
+    def stage(df):
+        runs.append(1)
+        return df.withColumn("x", F.lit(1))
+
+    for _ in range(2):
+        df = adapters.staged(spark, spark.range(3), [("a", stage)], str(tmp_path / "run"))
+    assert df.count() == 3 and len(runs) == 1
+    assert adapters.hashed_vector("a b a") == adapters.hashed_vector("a b a") and adapters.hashed_vector("") == [0.0] * 64
