@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from foliospark.plans import documents, records, relational, retrieval, streams, usage
+from foliospark.plans import documents, names, records, relational, retrieval, streams, usage
 from foliospark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents", "records", "relational", "retrieval", "streams", "usage"]
+__all__ = ["QUERIES", "SQL", "documents", "names", "records", "relational", "retrieval", "streams", "usage"]

@@ -212,3 +212,12 @@ def test_provider_errors_and_stages(spark, tmp_path):
         df = adapters.staged(spark, spark.range(3), [("a", stage)], str(tmp_path / "run"))
     assert df.count() == 3 and len(runs) == 1
     assert adapters.hashed_vector("a b a") == adapters.hashed_vector("a b a") and adapters.hashed_vector("") == [0.0] * 64
+
+
+def test_name_clusters():
+    from foliospark.operators import names
+
+    assert names.clusters(["Sukanya Verma", "sukanya  verma", "Verma", "Anil Rao", "Maya Rao", "Rao"]) == [["Sukanya Verma", "sukanya  verma", "Verma"], ["Anil Rao", "Maya Rao", "Rao"]]
+    assert names.clusters(["A Rao", "Verma", "B Verma"]) == [["A Rao"], ["Verma", "B Verma"]]
+    groups = names.skill_groups([("data", ["sql", "spark", "unknown"]), ("all", ["sql", "react"])], {"sql": "nice", "spark": "must", "react": "nice", "go": "nice"})
+    assert [(g["name"], g["members"], g["importance"]) for g in groups] == [("data", ["sql", "spark"], "must"), ("all", ["react"], "nice"), ("go", ["go"], "nice")]
