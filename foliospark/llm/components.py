@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import written
 
-#: Links that one step of the local pass holds at once.
-HELD = 1 << 20
+#: Links that one step of the local pass holds at once. No more than these, and one task finishes them in a single step.
+HELD = 1 << 18
 
 
 def smallest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +49,15 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _local for at most HELD links in one task: final."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if held:
+        nodes, root = smallest(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        keep = nodes != root
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], ["node", "root"])
+
+
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return tuple(r)
@@ -57,11 +66,13 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """node, root of every node of links(u long, v long) that isn't the smallest of its component.
 
-    Links within a task are contracted first; then large and small stars alternate until they change nothing, each round
+    Links within a task are contracted first. If at most HELD are left, one task finishes them; else large and small stars alternate until they change nothing, each round
     written to the shared folder. Hubs cost no more than their links: minima are partial aggregates, and what joins them
     back is split where a key is hot."""
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().mapInArrow(_local, "u long, v long").distinct(), "links")
     state = _state(now)
+    if state[0] <= HELD:
+        return now.coalesce(1).mapInArrow(_whole, "node long, root long")
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -2,9 +2,9 @@
 
 Equal sets are one set. Sets meet in the lists of their rarest shingles (the prefix filter), which are ordered by size, so
 that whole blocks of a list are skipped by size, and single entries by their positions. In each block, sets are held
-against one leader first. Sets verified to be like their leader take over its answer: no pair inside a component that is
-known by then is looked at again. What is left are pairs between components; they are counted over all lists, and only
-those that share as many rare shingles as the threshold implies are verified.
+against one leader first, then against a few others. Sets verified to be like a leader take over its answer: no pair
+inside a component that is known by then is looked at again. What is left are pairs between components; they are counted
+over all lists, and only those that share as many rare shingles as the threshold implies are verified.
 
 "Rarest" is by a count sketch over all documents, of fixed size: any order gives exact results, and this one keeps common
 passages out of the lists."""
@@ -12,6 +12,7 @@ passages out of the lists."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ WORDS = 4
 SHARE = 85
 #: Buckets of the count sketch, and how many travel as one row.
 SKETCH, BLOCK = 1 << 20, 1 << 14
+#: Rounds in which sets are held against further leaders before the rest is, and how many leaders each.
+ROUNDS, LEADERS = 2, 6
 #: Pairs that one step of a list holds.
 PAIRS = 1 << 20
 # odd multipliers, from the fractional digits of square roots
@@ -173,6 +176,39 @@ def bound(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return np.minimum(i, j) + np.minimum(a - i, b - j)
 
 
+def blocks(lead: np.ndarray, ends: np.ndarray, n: np.ndarray, share: int) -> np.ndarray:
+    """For entries of lists that start at lead and end at ends, ordered by size n, where each one's block starts: a block
+    holds the sets that aren't too large for its first one, so any two of it may be linked."""
+    first = np.zeros(len(n), np.int64)
+    while len(lead):
+        most = n[lead] * 100 // share
+        stop = np.array([a + np.searchsorted(n[a:z], m, side="right") for a, z, m in zip(lead.tolist(), ends.tolist(), most.tolist(), strict=True)], np.int64)
+        first[spread(lead, stop - lead)] = np.repeat(lead, stop - lead)
+        again = stop < ends
+        lead, ends = stop[again], ends[again]
+    return first
+
+
+def to_leaders(name: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, first: np.ndarray, share: int, leaders: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an entry and a leader of its block in another component. Leaders are those of the smallest mixed names,
+    another mix each turn, so that lists of the same sets agree on them."""
+    start = np.flatnonzero(first == np.arange(len(first)))
+    size = np.diff(np.append(start, len(first)))
+    order = np.lexsort((finish(name.view(np.uint64) + np.uint64(turn)), first))
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(leaders):
+        able = size > k
+        x = spread(start[able], size[able])
+        y = np.repeat(order[start[able] + k], size[able])
+        keep = (comp[x] != comp[y]) & (bound(pos[x], pos[y], n[x], n[y]) >= needed(n[x], n[y], share))
+        xs.append(x[keep])
+        ys.append(y[keep])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+LED = "node long, n long, leader long, leader_n long"
+
+
 def stars(share: int):  # noqa: ANN201
     """From sorted postings, those of lists of two or more (kind 0), and each entry with its block's leader (kind 1)."""
 
@@ -181,20 +217,8 @@ def stars(share: int):  # noqa: ANN201
             new = np.append(True, token[1:] != token[:-1])
             many = ~(new & np.append(new[1:], True))
             token, name, n, pos, new = token[many], name[many], n[many], pos[many], new[many]
-            # blocks: a leader, the smallest set, and all sets that aren't too large for it
             lead = np.flatnonzero(new)
-            ends = np.append(lead[1:], len(token))
-            leader = np.zeros(len(token), np.int64)
-            while len(lead):
-                most = n[lead] * 100 // share
-                stop = np.array([a + np.searchsorted(n[a:z], m, side="right") for a, z, m in zip(lead.tolist(), ends.tolist(), most.tolist(), strict=True)], np.int64)
-                leader[spread(lead, stop - lead)] = np.repeat(lead, stop - lead)
-                again = stop < ends
-                lead, ends = stop[again], ends[again]
-            x = np.flatnonzero((leader != np.arange(len(token))))
-            y = leader[x]
-            able = bound(pos[x], pos[y], n[x], n[y]) >= needed(n[x], n[y], share)
-            x, y = x[able], y[able]
+            x, y = to_leaders(name, n, pos, name, blocks(lead, np.append(lead[1:], len(token)).astype(np.int64), n, share), share, 1, 0)
             zero = np.zeros
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(zero(len(token), np.int32), np.ones(len(x), np.int32))), *(pa.array(np.append(p, q)) for p, q in ((token, zero(len(x), np.int64)), (name, name[x]), (n, n[x]), (pos.astype(np.int32), zero(len(x), np.int32)), (zero(len(token), np.int64), name[y]), (zero(len(token), np.int64), n[y])))],
@@ -204,6 +228,23 @@ def stars(share: int):  # noqa: ANN201
     return run
 
 
+def more_stars(share: int, turn: int):  # noqa: ANN201
+    """From sorted postings with components, entries with leaders of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, name, n, pos, comp in runs(batches):
+            lead = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(lead, len(token)))
+            mixed = np.minimum.reduceat(comp, lead) != np.maximum.reduceat(comp, lead)
+            rows = spread(lead[mixed], size[mixed])
+            name, n, pos, comp = name[rows], n[rows], pos[rows], comp[rows]
+            ends = np.cumsum(size[mixed])
+            x, y = to_leaders(name, n, pos, comp, blocks(ends - size[mixed], ends, n, share), share, LEADERS, turn)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name[x], n[x], name[y], n[y])], ["node", "n", "leader", "leader_n"])
+
+    return run
+
+
 def crossing(share: int):  # noqa: ANN201
     """From sorted postings with components, pairs of different ones and how many lists they meet in."""
 
@@ -285,16 +326,33 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str =
     p = partitions(spark)
     lists = once.mapInArrow(postings, "token long, node long, n long, pos int").repartition(p, "token").sortWithinPartitions("token", "n", "node")
     met = written(lists.mapInArrow(stars(share), "kind int, token long, node long, n long, pos int, leader long, leader_n long"), "lists")
-    led = met.filter("kind = 1").groupBy("leader", "node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
-    # the likeliest leader of each set; what is missed here is found between components
-    best = led.filter(2 * F.col("lists") >= shared_least("n", "m", share)).groupBy("node").agg(F.max_by("leader", F.struct("lists", "leader")).alias("leader"))
-    first = verified(written(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), "best"), read, names, words, share)
-    known = components(first)
-    inner = met.filter("kind = 0").select("token", "node", "n", "pos").join(known, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
-    cross = inner.repartition(p, "token").sortWithinPartitions("token", "n", "node").mapInArrow(crossing(share), "a long, b long, na long, nb long, lists long")
+
+    def checked(pairs: DataFrame, name: str) -> list[DataFrame]:
+        pairs = written(pairs, name)
+        return [] if pairs.isEmpty() else [verified(pairs, read, names, words, share)]
+
+    def linked(led: DataFrame, most: int) -> list[DataFrame]:
+        """Verified links of each set to its likeliest leaders; what is missed here is found between components."""
+        pairs = led.groupBy("leader", "node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
+        likely = pairs.filter(2 * F.col("lists") >= shared_least("n", "m", share))
+        best = likely.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("lists", "leader")), asc=False), 1, most).alias("best"))
+        return checked(best.select(F.explode("best.leader").alias("a"), F.col("node").alias("b")), "best")
+
+    def together(found: list[DataFrame]) -> DataFrame:
+        """node, root by all links so far."""
+        return components(reduce(DataFrame.union, found)) if found else spark.createDataFrame([], "node long, root long")
+
+    def grouped(found: list[DataFrame]) -> DataFrame:
+        """The lists, with the component of each entry so far."""
+        inner = met.filter("kind = 0").select("token", "node", "n", "pos").join(together(found), "node", "left")
+        return inner.select("token", "node", "n", "pos", F.coalesce("root", "node").alias("comp")).repartition(p, "token").sortWithinPartitions("token", "n", "node")
+
+    links = linked(met.filter("kind = 1").select("leader", "node", "n", "leader_n"), 1)
+    for turn in range(1, ROUNDS + 1):
+        links += linked(grouped(links).mapInArrow(more_stars(share, turn), LED), LEADERS)
+    cross = grouped(links).mapInArrow(crossing(share), "a long, b long, na long, nb long, lists long")
     likely = cross.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("lists") >= shared_least("na", "nb", share))
-    second = verified(written(likely.select("a", "b"), "likely"), read, names, words, share)
-    roots = components(first.union(second))
+    roots = together(links + checked(likely.select("a", "b"), "likely"))
     placed = every.select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
