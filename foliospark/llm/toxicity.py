@@ -109,10 +109,15 @@ def text_features(text: str) -> tuple[set[int], list[set[int]]]:
 def select(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The features that tell the labels apart best, by the G statistic; ties go to the smaller hash."""
     if not rows:
-        return np.zeros(0, np.int64)
-    every, inverse = np.unique(np.concatenate([f for _, f in rows]), return_inverse=True)
-    label = np.repeat([y for y, _ in rows], [len(f) for _, f in rows])
-    pos, both = np.bincount(inverse, weights=label, minlength=len(every)), np.bincount(inverse, minlength=len(every))
+        return np.zeros(0, np.uint32)
+    every, both = np.unique(np.concatenate([f for _, f in rows]), return_counts=True)
+    able = np.flatnonzero(both >= OCCURRENCES)
+    every, both = every[able], both[able]
+    pos = np.zeros(len(every), np.int64)
+    for y, f in rows:  # row by row: only the counts are held for all of the sample
+        if y:
+            at = np.minimum(np.searchsorted(every, f), len(every) - 1) if len(every) else f[:0]
+            pos[at[every[at] == f]] += 1
     n, n1 = len(rows), sum(y for y, _ in rows)
     gain = np.zeros(len(every))
     for a, b in ((pos, n1), (both - pos, n - n1)):
@@ -120,9 +125,9 @@ def select(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             gain += np.where(a > 0, a * np.log(a / expected), 0)
             gain += np.where(b - a > 0, (b - a) * np.log((b - a) / np.maximum(b - expected, 1e-9)), 0)
-    able = np.flatnonzero((both >= OCCURRENCES) & (gain > 6))
+    able = np.flatnonzero(gain > 6)
     best = able[np.lexsort((every[able], -gain[able]))][:FEATURES]
-    own = np.array(sorted({f for t in SWAPS for f in word_features(t)}), np.int64)
+    own = np.array(sorted({f for t in SWAPS for f in word_features(t)}), np.uint32)
     return np.unique(np.concatenate([every[best], own[np.isin(own, every)]]))
 
 
@@ -192,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(base, pa.binary()), pa.array(alts, pa.list_(pa.binary()))], ["doc_id", "toxic", "base", "alts"])
 
     got = chosen.mapInArrow(features, "doc_id long, toxic int, base binary, alts array<binary>").toArrow().to_pylist()
-    read = lambda x: np.frombuffer(x, "<u4").astype(np.int64)
+    read = lambda x: np.frombuffer(x, "<u4")
     got.sort(key=lambda x: (x["doc_id"], x["toxic"], x["base"]))
     return fit([(x["toxic"], read(x["base"]), [read(a) for a in x["alts"]]) for x in got])
 
