@@ -16,6 +16,9 @@ from foliospark.llm import line_dedup, ngram_join, packing, secret_scan, toxicit
 from foliospark.llm.common import scratch_root, table
 from foliospark.llm.queries import tokenizer
 
+#: Words of a shingle, and per cent of the union that near duplicates share. Those of op7_ngram_join bind that query alone.
+NEAR_WORDS, NEAR_SHARE = 5, 80
+
 
 def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
     """docs with the columns of `like`, and n_chars of the new text."""
@@ -36,7 +39,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents the one of the smallest doc_id stays, and of rows that repeat one."""
-    found = ngram_join.join(docs)
+    found = ngram_join.join(docs, words=NEAR_WORDS, share=NEAR_SHARE)
     kept = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
     return (kept.dropDuplicates(["doc_id", "text"]) if repeated else kept).select(*docs.columns)

@@ -66,7 +66,8 @@ def shingle_sets(array: pa.Array, words: int) -> list[np.ndarray]:
     n = max(0, len(w) - words + 1)
     h = np.zeros(n, np.uint64)
     for k in range(words):
-        h = h + w[k : n + k] * MIX[k % 4] + np.uint64(k // 4)
+        # a power of its own for each place, or words that change places would give the same shingle
+        h = h + w[k : n + k] * np.uint64(pow(int(MIX[k % 4]), k // 4 + 1, 1 << 64))
     h = finish(h)
     out = []
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

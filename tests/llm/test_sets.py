@@ -259,6 +259,30 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def apart(texts, words, share):
+    """Positions of the texts that stay: the first of each component at these values, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])]
+    return [i for i, r in least(range(len(sets)), links).items() if r == i]
+
+
+def test_pipeline_near_copies_equal_all_pairs(spark):
+    import corpus_pipeline as c
+
+    base = [f"w{i}" for i in range(60)]
+    texts = near_copies(seed=5)
+    # one word in the middle of so many differs: 0.8 on five words at 49, not at 48; under 0.85 on four words at both
+    for n in (48, 49):
+        texts += [" ".join(f"n{n}x{i}" if i != 25 else x for i in range(n)) for x in ("left", "right")]
+    # the first and the last word of each shingle change places: no shingle in common
+    texts += ["a b c d e", "e b c d a", " ".join(base), " ".join(reversed(base))]
+    kept = [r["doc_id"] for r in c.one_of_each(spark, table(spark, texts), "").collect()]
+    assert sorted(kept) == apart(texts, 5, 80) != apart(texts, 4, 85)
+
+
 def test_pipeline_odd_rows(spark, odd, empty, sf_dir):
     import corpus_pipeline as c
 
