@@ -2,13 +2,13 @@
 
 A line falls to a leaf by its number of words and its first words; words with digits are fields, and read <*>. Within a
 leaf, lines that agree in most positions with the leaf's first line share its template, where the other positions are
-fields; the rest look for the first line among themselves, and so on for a fixed number of rounds; what is left is a
-template of its own. Of a template that several documents have, the lines of the smallest doc_id stay and those of all
-other documents are dropped."""
+fields; the rest look for the first line among themselves, and so on until no line is left. A round finds several first
+lines at once, by a fold over the first lines of each leaf. Of a template that several documents have, the lines of the
+smallest doc_id stay and those of all other documents are dropped."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import written
@@ -17,8 +17,10 @@ from foliospark.llm.common import written
 DEPTH = 3
 #: Lines of fewer words stay; a line needs more words before positions may differ.
 WORDS, VARIABLE = 4, 10
-#: Share of equal positions that makes one template of two lines, and rounds of first lines in a leaf.
-SIMILAR, ROUNDS = 0.8, 2
+#: Share of equal positions that makes one template of two lines.
+SIMILAR = 0.8
+#: Lines of a leaf that the first round folds, by how much that grows each round, and up to how many.
+FOLD, FASTER, MOST = 8, 4, 512
 FIELD = "<*>"
 DIGITS = "0123456789"
 
@@ -42,21 +44,28 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return shown.select("row", "doc_id", "pos", F.xxhash64(F.size("w"), F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("w").alias("m"), F.when(F.size("w") >= VARIABLE, F.transform("w", lambda x: F.hash(x))).alias("t"))
 
 
+def agree(x: Column, y: Column) -> Column:
+    """Whether two lines of as many words agree in enough positions for one template."""
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e)) >= SIMILAR * F.size(x)
+
+
 def merged(keys: DataFrame) -> DataFrame:
     """leaf, m, g: masked lines whose template is that of another line, g."""
     shared = keys.filter("t is not null").groupBy("leaf").agg(F.min("m").alias("a"), F.max("m").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).filter("a <> b and c <> d").select("leaf")
     lines = keys.filter("t is not null").join(shared, "leaf", "left_semi")
     firsts = lines.groupBy("leaf", "m").agg(F.min("doc_id").alias("at"), F.first("t").alias("t"))
-    rest, found = written(firsts, "lines"), None
-    for _ in range(ROUNDS):
-        first = rest.groupBy("leaf").agg(F.min_by(F.struct("m", "t"), F.struct("at", "m")).alias("f"))
-        equal = F.size(F.filter(F.zip_with("t", F.col("f.t"), lambda x, y: x == y), lambda e: e))
-        near = rest.join(first, "leaf").withColumn("near", equal >= SIMILAR * F.size("t"))
-        near = written(near.select("leaf", "m", "at", "t", F.col("f.m").alias("g"), "near"), "near")
-        part = near.filter("near and m <> g").select("leaf", "m", "g")
+    rest, found, most = written(firsts, "lines"), None, FOLD
+    while not rest.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("leaf").orderBy("at", "m"))
+        first = rest.withColumn("turn", turn).filter(F.col("turn") <= most).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("turn", "m", "t"))).alias("f"))
+        heads = F.aggregate("f", F.slice("f", 1, 0), lambda heads, x: F.when(F.exists(heads, lambda h: agree(h["t"], x["t"])), heads).otherwise(F.concat(heads, F.array(x))))
+        near = rest.join(first.select("leaf", heads.alias("f")), "leaf")
+        near = near.select("leaf", "m", "at", "t", F.get(F.filter("f", lambda h: agree(h["t"], F.col("t"))), F.lit(0))["m"].alias("g"))
+        near = written(near, "near")
+        part = near.filter("m <> g").select("leaf", "m", "g")
         found = part if found is None else found.unionByName(part)
-        rest = near.filter("not near").select("leaf", "m", "at", "t")
-    return found
+        rest, most = near.filter("g is null").select("leaf", "m", "at", "t"), min(MOST, most * FASTER)
+    return firsts.select("leaf", "m", F.lit(None).cast("long").alias("g")).limit(0) if found is None else found
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

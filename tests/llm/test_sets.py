@@ -111,6 +111,37 @@ def test_line_dedup_equals_fold(spark):
         assert r["text"] == "\n".join(want)
 
 
+def folded(texts, least):
+    """The texts without recurring lines, by a plain fold: lines of a leaf by their first document, in the order of their
+    masked hashes where that ties, which the texts given must not depend on. Lines of under `least` words stay."""
+    where = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            where.setdefault(tuple("<*>" if any(c.isdigit() for c in w) else w for w in x.split()), set()).add(i)
+    heads, template = {}, {}
+    for m in sorted(where, key=lambda m: min(where[m])):
+        leaf = heads.setdefault((len(m), m[:3]), [])
+        template[m] = next((h for h in leaf if len(m) >= 5 and 5 * sum(a == b for a, b in zip(h, m)) >= 4 * len(m)), m)
+        if template[m] == m:
+            leaf.append(m)
+    at = {}
+    for m, docs in where.items():
+        at[template[m]] = min(at.get(template[m], len(texts)), *docs)
+    key = lambda x: tuple("<*>" if any(c.isdigit() for c in w) else w for w in x.split())
+    return ["\n".join(x for x in t.split("\n") if len(x.split()) < least or at[template[key(x)]] == i) for i, t in enumerate(texts)]
+
+
+def test_line_dedup_all_templates_of_a_leaf(spark):
+    # one leaf: 45 lines of nothing in common but their first words, then pairs that differ in one or two of twelve words
+    lines = ["one two three " + " ".join(f"{'abcdefghi'[k]}{'qrstuvwxyz'[i % 10]}{'qrstuvwxyz'[i // 10]}" for k in range(9)) for i in range(45)]
+    near = [" ".join([*x.split()[:10], "other", "end"]) for x in lines[::-1]]
+    texts = lines + near
+    want = folded(texts, 2)
+    assert want[:45] == lines and want[45:] == [""] * 45
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(90)] == want
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_embedding_dedup_equals_brute_force(spark, kind):
     rng = np.random.default_rng(4)
