@@ -15,8 +15,8 @@ from foliospark.llm.common import written
 
 #: Leading words on the path to a leaf.
 DEPTH = 3
-#: Lines of fewer words stay; a line needs more words before positions may differ.
-WORDS, VARIABLE = 4, 10
+#: Lines of fewer words stay. From VARIABLE words on some position may differ at SIMILAR; shorter lines recur by equality.
+WORDS, VARIABLE = 2, 5
 #: Share of equal positions that makes one template of two lines.
 SIMILAR = 0.8
 #: Lines of a leaf that the first round folds, by how much that grows each round, and up to how many.

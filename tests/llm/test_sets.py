@@ -142,6 +142,26 @@ def test_line_dedup_all_templates_of_a_leaf(spark):
     assert [rows[i] for i in range(90)] == want
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = ["All rights reserved.", "Read more", "page 3 of 4", "one two three four five", "share this with your friends", "a b c d e f g h i"]
+    again = ["All rights reserved.", "Read more", "page 5 of 6", "one two three four six", "share this with our enemies", "a b c d e f g h j"]
+    # of nine words one may differ, of five one; of four none
+    other = ["All rights refused.", "Read less", "page 3 in 4", "one two three seven eight", "share this with your friends", "a b c d e f g x y"]
+    texts = ["\n".join(x) for x in (lines, again, other)]
+    want = folded(texts, 2)
+    assert want == [texts[0], "share this with our enemies", "\n".join(other[:4] + other[5:])]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(3)] == want
+
+
+def test_line_dedup_equals_fold_from_two_words(spark):
+    rnd = random.Random(11)
+    pool = [" ".join(rnd.choice(["aa", "bb", "7"]) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    texts = [rnd.choice(pool) for _ in range(300)]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(300)] == folded(texts, 2)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_embedding_dedup_equals_brute_force(spark, kind):
     rng = np.random.default_rng(4)
