@@ -25,11 +25,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Which texts have anything to look at; a superset, by an engine of linear time.
 MAYBE = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "pair": r"[A-Za-z0-9_\"'\])][ \t]*(=|:)"}
-#: Names longer than this many code points aren't names.
-NAME = 128
-NAMED = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])(["'`]?)([A-Za-z_$][A-Za-z0-9_.$-]*)\1[ \t]*(?::[ \t]*[A-Za-z_][A-Za-z0-9_.\[\], |]*)?[ \t]*$""")
+NAMED = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])(["'`]?)([A-Za-z_$][A-Za-z0-9_.$-]*+)\1[ \t]*+(?::[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\], |]*+)?[ \t]*+$""")
 SIGN = re.compile(r"[:=!<>]+")
-QUOTED = re.compile(r"""[ \t]*[rbufRBUF]{0,2}(["'`])((?:\\.|(?!\1)[^\\\n]){0,4096}+)\1""")
+QUOTED = re.compile(r"""[ \t]*[rbufRBUF]{0,2}(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1""")
 BARE = re.compile(r"""[ \t]*([^\s,;"'`(){}\[\]<>]+)""")
 REFERENCE = re.compile(r"(?:[$]\{?)?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -60,10 +58,14 @@ def literal_score(value: str) -> float:
 def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
     """name, literal, its start and end, and whether it was quoted, in the order of the text."""
     out = []
+    # a name stands on the sign's line, with one more sign between at most, that of its type; the last character of the
+    # sign before that may stand next to the name
+    low, last = 0, 0
     for m in SIGN.finditer(text):
+        start, low, last = low, last, m.end() - 1
         if m[0] not in ("=", ":", ":=", "=>"):
             continue
-        before = NAMED.search(text[max(0, m.start() - NAME) : m.start()])
+        before = NAMED.search(text[max(start, text.rfind("\n", start, m.start()) + 1) : m.start()])
         if not before:
             continue
         value = QUOTED.match(text, m.end())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -123,6 +124,17 @@ def test_secret_literals(text, found):
     assert [text[s.start : s.end] for s in secret_scan.literals(text)] == found
 
 
+def test_secret_literals_of_any_length():
+    value = "k9Jx82hQpLm/" * 700
+    for text in (f'private_key = "{value}"', f'x = "{value}"\npassphrase: str = x', f"{'a' * 300}_passphrase = '{value}'", f'credentials{" " * 500}= "{value}"', f'passphrase: {"A | " * 80}str = "{value}"'):
+        assert [text[s.start : s.end] for s in secret_scan.literals(text)] == [value]
+    # time in proportion to the text: many signs, runs of blanks, and open quotes on one line
+    for text in ("a = " * 100_000, "a: b" + " " * 400_000 + ";=" * 1000, "a=\"b c='d e=`f " * 20_000, "x" * 400_000 + "=" + "\\=" * 50_000):
+        began = time.process_time()
+        secret_scan.literals(text)
+        assert time.process_time() - began < 5
+
+
 def test_secret_queries(odd, empty):
     rows = {r["doc_id"]: r for r in secret_scan.scan(odd).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
