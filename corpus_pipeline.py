@@ -63,7 +63,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: No stage but the line dedup is within SQL's reach; tests hold each against a brute-force version.
+#: No stage is held against SQL. Tests hold the near duplicates against all pairs, and line dedup against a plain fold as an
+#: operator; of the toxicity and secret stages in the pipeline they check rows and columns only.
 ORACLE_SQL = None
 
 
