@@ -47,17 +47,25 @@ def forget(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs nothing that was done.
 
-    The folder goes when the driver ends."""
+    Its path is added to `into`, for `forget_all` once nothing reads it any more; else it goes when the driver ends."""
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), f"foliospark-{uuid.uuid4().hex}", name)
     df.write.parquet(path)
-    atexit.register(forget, spark, os.path.dirname(path))
+    if into is None:
+        atexit.register(forget, spark, os.path.dirname(path))
+    else:
+        into.append(os.path.dirname(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_all(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        forget(spark, paths.pop())
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

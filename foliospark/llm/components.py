@@ -63,13 +63,14 @@ def _state(links: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, into: list[str] | None = None) -> DataFrame:
     """node, root of every node of links(u long, v long) that isn't the smallest of its component.
 
     Links within a task are contracted first. If at most HELD are left, one task finishes them; else large and small stars alternate until they change nothing, each round
     written to the shared folder. Hubs cost no more than their links: minima are partial aggregates, and what joins them
-    back is split where a key is hot."""
-    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().mapInArrow(_local, "u long, v long").distinct(), "links")
+    back is split where a key is hot. Paths of its tables are added to `into`, as by `written`. An empty table, and links of
+    a node with itself, give no rows; a link with a null end counts for nothing."""
+    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().mapInArrow(_local, "u long, v long").distinct(), "links", into)
     state = _state(now)
     if state[0] <= HELD:
         return now.coalesce(1).mapInArrow(_whole, "node long, root long")
@@ -79,7 +80,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v")
-        now = written(small.distinct(), "links")
+        now = written(small.distinct(), "links", into)
         new = _state(now)
         if new == state:
             break

@@ -1,25 +1,31 @@
 """Exact Jaccard self-join on word shingles, and its components, with set relations used at both levels.
 
-Equal sets are one set. Sets meet in the lists of their rarest shingles (the prefix filter), which are ordered by size, so
-that whole blocks of a list are skipped by size, and single entries by their positions. In each block, sets are held
-against one leader first, then against a few others. Sets verified to be like a leader take over its answer: no pair
-inside a component that is known by then is looked at again. What is left are pairs between components; they are counted
-over all lists, and only those that share as many rare shingles as the threshold implies are verified.
+Equal sets are one set. Sets meet in the lists of their rarest shingles (the prefix filter). Entries of a list are skipped
+in blocks by size, and singly by their positions: of the shingles before an entry's own only those count whose lists hold
+a set of another component, so that a set with many shingles of its own drops out of all lists at once. Last come maps of
+bits, which bound what two sets have in common. Answers are
+derived from set to set: in each block, sets are held against the one that stands at the front of its order (the one with
+the fewest shingles of its own, from which the others were most likely made), and those verified to be like it take over
+its component: no pair inside a component is looked at again. Further rounds do the same with leaders of other
+components. What is left are pairs between components; they are counted over all lists, and only those that share as many
+rare shingles as the threshold implies are verified.
 
 "Rarest" is by a count sketch over all documents, of fixed size: any order gives exact results, and this one keeps common
-passages out of the lists."""
+passages out of the lists. Hot lists are never in one task: leaders are partial aggregates, entries meet them in joins
+that are split where a key is hot, and pairs are looked for in tiles of a list."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import flat, partitions, slices, spread, texts, written
+from foliospark.llm.common import flat, forget_all, partitions, slices, spread, texts, written
 from foliospark.llm.components import components
 from foliospark.llm.packing import LOWER
 
@@ -28,10 +34,13 @@ WORDS = 4
 SHARE = 85
 #: Buckets of the count sketch, and how many travel as one row.
 SKETCH, BLOCK = 1 << 20, 1 << 14
-#: Rounds in which sets are held against further leaders before the rest is, and how many leaders each.
-ROUNDS, LEADERS = 2, 6
-#: Pairs that one step of a list holds.
-PAIRS = 1 << 20
+#: Sets are held against leaders of other components as long as one in YIELD of the pairs tried is linked, in at most
+#: ROUNDS rounds; then the pairs that are left are looked for. Results don't depend on either.
+YIELD, ROUNDS = 50, 6
+#: Bits of a set's parity map: two maps differ in no more bits than the sets do in shingles.
+PARITY = 512
+#: Entries of a list that one tile holds of either side, and pairs that one step of a tile holds.
+TILE, PAIRS = 4096, 1 << 20
 # odd multipliers, from the fractional digits of square roots
 MIX = [np.uint64(x | 1) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1)]
 
@@ -96,8 +105,13 @@ def needed_sql(a: str, b: str, share: int) -> Column:
     return F.expr(f"(({share}L * ({a} + {b}) + {99 + share}) div {100 + share})")
 
 
-def shared_least(a: str, b: str, share: int) -> Column:
+def fewest_lists(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     """Fewest common shingles in the prefixes of linked sets: the first common ones, but as many as either side lacks."""
+    return np.maximum(1, needed(a, b, share) + -share * np.maximum(a, b) // 100 + 1)
+
+
+def shared_least(a: str, b: str, share: int) -> Column:
+    """As fewest_lists."""
     return F.greatest(F.lit(1), needed_sql(a, b, share) - F.expr(f"(({share}L * greatest({a}, {b}) + 99) div 100)") + 1)
 
 
@@ -126,15 +140,31 @@ def sketched(docs: DataFrame, words: int) -> np.ndarray:
     return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def node(s: np.ndarray) -> int:
-    """A set's 64-bit name, the same for equal sets."""
+def names(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """128 bits for each set, in two halves, the same for equal sets; null for empty ones."""
     import xxhash
 
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)))))
+    both = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
+    half = lambda shift: pa.array([None if x is None else int(np.int64(np.uint64(x >> shift & (1 << 64) - 1))) for x in both], pa.int64())
+    return half(64), half(0)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """How many shingles of the set fall on each bit, odd or even."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def prepared(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """doc_id, n (set size), node (null for empty sets) and prefix of every document, written."""
+def keys(text: str = "text") -> list[Column]:
+    """128 bits that name a text, in two halves."""
+    return [F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
+
+
+EVERY = "row long, doc_id long, k1 long, k2 long, n long, h1 long, h2 long, prefix binary, bits binary"
+
+
+def prepared(docs: DataFrame, words: int, share: int, into: list[str]) -> DataFrame:
+    """A number, the text's name, n (set size), the set's name (null for empty sets) and prefix of every row, written."""
     sketch = docs.sparkSession.sparkContext.broadcast(sketched(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +172,9 @@ def prepared(docs: DataFrame, words: int, share: int) -> DataFrame:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), words)
             pre = [s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: prefix_size(len(s), share)]].tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) if len(s) else None for s in sets], pa.int64()), pa.array(pre, pa.binary())], ["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), *names(sets), pa.array(pre, pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "k1", "k2", "n", "h1", "h2", "prefix", "bits"])
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, node long, prefix binary"), "sets")
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *keys()).mapInArrow(run, EVERY), "sets", into)
 
 
 def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,99 +185,23 @@ def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])), b.column("node").take(row), b.column("n").take(row), pa.array(spread(np.zeros(len(sizes), np.int64), sizes).astype(np.int32))], ["token", "node", "n", "pos"])
 
 
-def runs(batches: Iterator[pa.RecordBatch], least: int = PAIRS // 8) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by token, regrouped so that no token is torn."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        last = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
-        if (last or held and held[-1][0][-1] != cols[0][0]) and sum(len(h[0]) for h in held) + last >= least:
-            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in cols], strict=True)] if held else [c[:last] for c in cols]
-            held = [[c[last:] for c in cols]]
-        else:
-            held.append(cols)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def bound(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most common shingles of sets of sizes a and b with the same shingle at positions i and j of their orders."""
-    return np.minimum(i, j) + np.minimum(a - i, b - j)
-
-
-def blocks(lead: np.ndarray, ends: np.ndarray, n: np.ndarray, share: int) -> np.ndarray:
-    """For entries of lists that start at lead and end at ends, ordered by size n, where each one's block starts: a block
-    holds the sets that aren't too large for its first one, so any two of it may be linked."""
-    first = np.zeros(len(n), np.int64)
-    while len(lead):
-        most = n[lead] * 100 // share
-        stop = np.array([a + np.searchsorted(n[a:z], m, side="right") for a, z, m in zip(lead.tolist(), ends.tolist(), most.tolist(), strict=True)], np.int64)
-        first[spread(lead, stop - lead)] = np.repeat(lead, stop - lead)
-        again = stop < ends
-        lead, ends = stop[again], ends[again]
-    return first
-
-
-def to_leaders(name: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, first: np.ndarray, share: int, leaders: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an entry and a leader of its block in another component. Leaders are those of the smallest mixed names,
-    another mix each turn, so that lists of the same sets agree on them."""
-    start = np.flatnonzero(first == np.arange(len(first)))
-    size = np.diff(np.append(start, len(first)))
-    order = np.lexsort((finish(name.view(np.uint64) + np.uint64(turn)), first))
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(leaders):
-        able = size > k
-        x = spread(start[able], size[able])
-        y = np.repeat(order[start[able] + k], size[able])
-        keep = (comp[x] != comp[y]) & (bound(pos[x], pos[y], n[x], n[y]) >= needed(n[x], n[y], share))
-        xs.append(x[keep])
-        ys.append(y[keep])
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-LED = "node long, n long, leader long, leader_n long"
-
-
-def stars(share: int):  # noqa: ANN201
-    """From sorted postings, those of lists of two or more (kind 0), and each entry with its block's leader (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, name, n, pos in runs(batches):
-            new = np.append(True, token[1:] != token[:-1])
-            many = ~(new & np.append(new[1:], True))
-            token, name, n, pos, new = token[many], name[many], n[many], pos[many], new[many]
-            lead = np.flatnonzero(new)
-            x, y = to_leaders(name, n, pos, name, blocks(lead, np.append(lead[1:], len(token)).astype(np.int64), n, share), share, 1, 0)
-            zero = np.zeros
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(zero(len(token), np.int32), np.ones(len(x), np.int32))), *(pa.array(np.append(p, q)) for p, q in ((token, zero(len(x), np.int64)), (name, name[x]), (n, n[x]), (pos.astype(np.int32), zero(len(x), np.int32)), (zero(len(token), np.int64), name[y]), (zero(len(token), np.int64), n[y])))],
-                ["kind", "token", "node", "n", "pos", "leader", "leader_n"],
-            )
-
-    return run
-
+def may_link(x: str, y: str, share: int) -> Column:
+    """Whether entries x and y (structs) of one list may be linked: by size, and by how many shingles can be common. Before
+    the shared one only live shingles can, those whose lists hold more than one set or component."""
+    common = F.expr(f"least({x}.live, {y}.live) + least({x}.n - {x}.pos, {y}.n - {y}.pos)")
+    lists = F.expr(f"least({x}.live, {y}.live) + least({x}.total - {x}.live, {y}.total - {y}.live)")
+    return (common >= needed_sql(f"{x}.n", f"{y}.n", share)) & (lists >= shared_least(f"{x}.n", f"{y}.n", share))
 
-def more_stars(share: int, turn: int):  # noqa: ANN201
-    """From sorted postings with components, entries with leaders of other components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, name, n, pos, comp in runs(batches):
-            lead = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(lead, len(token)))
-            mixed = np.minimum.reduceat(comp, lead) != np.maximum.reduceat(comp, lead)
-            rows = spread(lead[mixed], size[mixed])
-            name, n, pos, comp = name[rows], n[rows], pos[rows], comp[rows]
-            ends = np.cumsum(size[mixed])
-            x, y = to_leaders(name, n, pos, comp, blocks(ends - size[mixed], ends, n, share), share, LEADERS, turn)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name[x], n[x], name[y], n[y])], ["node", "n", "leader", "leader_n"])
-
-    return run
+def ranked(entries: DataFrame) -> DataFrame:
+    """live: how many shingles of the same set stand before an entry, among those given; total: how many it has of those."""
+    mine = Window.partitionBy("node").orderBy("pos", "token")
+    every = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return entries.withColumn("live", (F.row_number().over(mine) - 1).cast("int")).withColumn("total", F.count("*").over(every).cast("int"))
 
 
-def crossing(share: int):  # noqa: ANN201
-    """From sorted postings with components, pairs of different ones and how many lists they meet in."""
+def tiles(share: int):  # noqa: ANN201
+    """From entries sorted by token and tile (a, b), pairs of different components and how many lists they meet in."""
 
     def emit(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
         swap = a > b
@@ -257,44 +211,74 @@ def crossing(share: int):  # noqa: ANN201
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (a, b, na, nb)), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "na", "nb", "lists"])
 
+    def pairs(token, a, b, own, node, n, pos, live, total, comp, bits):  # noqa: ANN001, ANN202
+        """Of whole runs of equal (token, a, b), sorted by n within: a partner stands after an entry, as far as sizes allow."""
+        run = np.cumsum(np.append(0, (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        most = n * 100 // share
+        span = int(max(n.max(), most.max())) + 1
+        to = np.searchsorted(run * span + n, run * span + most, side="right")
+        count = to - np.arange(len(n)) - 1
+        upto, at = np.cumsum(count), 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            x = np.repeat(np.arange(at, stop), count[at:stop])
+            y = spread(np.arange(at, stop) + 1, count[at:stop])
+            other = (comp[x] != comp[y]) & ((a[x] == b[x]) | (own[x] != own[y]))
+            x, y = x[other], y[other]
+            before = np.minimum(live[x], live[y])
+            able = (before + np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y], share)) & (before + np.minimum(total[x] - live[x], total[y] - live[y]) >= fewest_lists(n[x], n[y], share))
+            x, y = x[able], y[able]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            able = n[x] + n[y] - apart >= 2 * needed(n[x], n[y], share)
+            yield node[x[able]], node[y[able]], n[x[able]], n[y[able]]
+            at = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, name, n, pos, comp in runs(batches):
-            new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(new, len(token)))
-            mixed = np.minimum.reduceat(comp, new) != np.maximum.reduceat(comp, new)
-            rows = spread(new[mixed], size[mixed])
-            # an entry's partners stand after it, as far as sizes allow
-            scaled = np.repeat(np.arange(int(mixed.sum())), size[mixed])
-            most = n[rows] * 100 // share
-            span = int(max(n.max(), most.max() if len(most) else 0)) + 1
-            keyed = scaled * span + n[rows]
-            to = np.minimum(np.searchsorted(keyed, scaled * span + most, side="right"), len(rows))
-            count = to - np.arange(len(rows)) - 1
-            at = 0
-            total = np.cumsum(count)
-            while at < len(rows):
-                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-                x = rows[np.repeat(np.arange(at, stop), count[at:stop])]
-                y = rows[spread(np.arange(at, stop) + 1, count[at:stop])]
-                able = (comp[x] != comp[y]) & (bound(pos[x], pos[y], n[x], n[y]) >= needed(n[x], n[y], share))
-                if able.any():
-                    x, y = x[able], y[able]
-                    yield emit(name[x], name[y], n[x], n[y])
-                at = stop
+        held: list[list[np.ndarray]] = []
+        kept: list[tuple] = []
+
+        def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for found in pairs(*cols):
+                kept.append(found)
+                if sum(len(k[0]) for k in kept) >= PAIRS:
+                    yield emit(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+                    kept.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            # no tile is torn; one holds 2 x TILE entries on average
+            last = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]))[0])
+            ends = bool(held) and any(held[-1][i][-1] != cols[i][0] for i in range(3))
+            if last or ends:
+                yield from whole([np.concatenate(x) for x in zip(*held, [c[:last] for c in cols], strict=True)] if held else [c[:last] for c in cols])
+                held = [[c[last:] for c in cols]]
+            else:
+                held.append(cols)
+        if held:
+            yield from whole([np.concatenate(x) for x in zip(*held, strict=True)])
+        if kept:
+            yield emit(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, share: int) -> DataFrame:
-    """Those of pairs(a, b) that are linked. Sets come anew from the texts of one document each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node").select("doc_id").distinct()
+def shingled(docs: DataFrame, wanted: DataFrame, words: int, into: list[str]) -> DataFrame:
+    """node, shingles of wanted(node, doc_id, k1, k2), from the texts of one row each, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = shingle_sets(b.column("text"), words)
-            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), words)], pa.binary())], ["node", "shingles"])
+
+    place = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
+    found = docs.select(place, "text", *keys()).join(wanted.select("node", place, "k1", "k2"), ["at", "k1", "k2"])
+    return written(found.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingles", into)
 
-    sets = written(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "verified")
+
+def verified(pairs: DataFrame, sets: DataFrame, share: int, into: list[str]) -> DataFrame:
+    """Those of pairs(a, b) that are linked, written."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +293,84 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, sh
 
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = second.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return written(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"), "links")
+    return written(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"), "links", into)
+
+
+def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2 (the text's name), n (set size), root (the same for rows of one component, null for empty sets) of
+    every row, written."""
+    spark = docs.sparkSession
+    read = texts(docs, id_col, text_col)
+    scratch: list[str] = []
+    every = prepared(read, words, share, scratch)
+    once = every.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("row", "doc_id", "k1", "k2")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    once = written(once.select("h1", "h2", F.col("one.row").alias("node"), "one.doc_id", "one.k1", "one.k2", "n", "prefix", "bits"), "classes", scratch)
+    entries = once.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n long, pos int")
+    # most shingles are of one set alone
+    shared = written(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared", scratch)
+    met = ranked(entries.join(shared, "token")).withColumn("block", F.floor(F.log("n") / math.log(100 / share)).cast("int"))
+    met = written(met, "lists", scratch)
+    links: list[DataFrame] = []
+    sets: list[DataFrame] = []
+
+    def together(into: list[str]) -> DataFrame:
+        """node, root by all links so far."""
+        return components(reduce(DataFrame.union, links), into) if links else spark.createDataFrame([], "node long, root long")
+
+    def placed(into: list[str]) -> DataFrame:
+        """Entries of those lists that still hold several components; live counts only these."""
+        mine: list[str] = []
+        now = written(met.join(together(mine), "node", "left").select("token", "node", "n", "pos", "block", F.coalesce("root", "node").alias("comp")), "placed", mine)
+        mixed = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+        mixed = written(ranked(now.join(mixed, "token")), "mixed", into)
+        forget_all(spark, mine)
+        return mixed
+
+    def checked(pairs: DataFrame, name: str) -> bool:
+        """Adds those pairs that are linked to the links; whether they are worth another round."""
+        mine: list[str] = []
+        worth = False
+        pairs = written(pairs, name, mine)
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            for known in sets:
+                wanted = wanted.join(known.select("node"), "node", "left_anti")
+            # as a table its size is known, so that it is broadcast only where small
+            wanted = written(once.select("node", "doc_id", "k1", "k2").join(wanted, "node"), "wanted", mine)
+            sets.append(shingled(read, wanted, words, scratch))
+            links.append(verified(pairs, reduce(DataFrame.union, sets), share, scratch))
+            worth = links[-1].count() * YIELD >= pairs.count()
+        forget_all(spark, mine)
+        return worth
+
+    def led(lists: DataFrame) -> bool:
+        """Each set against the likeliest leader of its blocks; what is missed here is found between components. Leaders
+        are the entry nearest to the front of its order, and those of the smallest and the largest component."""
+        lists = lists.withColumn("e", F.struct("pos", F.xxhash64("node").alias("mix"), "node", "n", "live", "total", "comp"))
+        heads = lists.groupBy("token", "block").agg(F.min("e").alias("front"), F.min_by("e", F.struct("comp", "e")).alias("low"), F.max_by("e", F.struct("comp", -F.col("pos"), F.xxhash64("node"))).alias("high"))
+        heads = heads.select("token", "block", F.explode(F.array_distinct(F.array("front", "low", "high"))).alias("l"))
+        near = lists.select("token", "block", "e").join(heads, ["token", "block"]).filter("e.comp <> l.comp").filter(may_link("e", "l", share))
+        pairs = near.groupBy(F.col("l.node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("lists"), F.first("l.n").alias("na"), F.first("e.n").alias("nb"))
+        likely = pairs.filter(2 * F.col("lists") >= shared_least("na", "nb", share))
+        return checked(likely.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "best")
+
+    worth, turns = led(met.withColumn("comp", F.col("node"))), 0
+    while worth and turns < ROUNDS:
+        mine: list[str] = []
+        worth, turns = led(placed(mine)), turns + 1
+        forget_all(spark, mine)
+    left = placed(scratch)
+    size = left.groupBy("token").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    dealt = left.join(size, "token").join(once.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "pos", "live", "total", "comp", "bits")
+    dealt = dealt.repartition(partitions(spark), "token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "node")
+    cross = dealt.mapInArrow(tiles(share), "a long, b long, na long, nb long, lists long")
+    likely = cross.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("lists") >= shared_least("na", "nb", share))
+    checked(likely.select("a", "b"), "likely")
+    roots = once.select("h1", "h2", "node").join(together(scratch), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    done = written(every.select("doc_id", "k1", "k2", "n", "h1", "h2").join(roots, ["h1", "h2"], "left").select("doc_id", "k1", "k2", "n", "root"), "grouped")
+    forget_all(spark, scratch)
+    return done
 
 
 def join(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,43 +379,24 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str =
     Null and empty texts have no shingles and link with nothing; rows that repeat, and different texts of one doc_id, are
     nodes by their texts; a null doc_id is in a component but never names one unless alone; an empty table gives no rows;
     other columns are not read."""
-    spark = docs.sparkSession
-    read = texts(docs, id_col, text_col)
-    every = prepared(read, words, share)
-    full = every.filter("node is not null")
-    names = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    once = full.select("node", "n", "prefix").dropDuplicates(["node"])
-    p = partitions(spark)
-    lists = once.mapInArrow(postings, "token long, node long, n long, pos int").repartition(p, "token").sortWithinPartitions("token", "n", "node")
-    met = written(lists.mapInArrow(stars(share), "kind int, token long, node long, n long, pos int, leader long, leader_n long"), "lists")
-
-    def checked(pairs: DataFrame, name: str) -> list[DataFrame]:
-        pairs = written(pairs, name)
-        return [] if pairs.isEmpty() else [verified(pairs, read, names, words, share)]
-
-    def linked(led: DataFrame, most: int) -> list[DataFrame]:
-        """Verified links of each set to its likeliest leaders; what is missed here is found between components."""
-        pairs = led.groupBy("leader", "node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
-        likely = pairs.filter(2 * F.col("lists") >= shared_least("n", "m", share))
-        best = likely.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("lists", "leader")), asc=False), 1, most).alias("best"))
-        return checked(best.select(F.explode("best.leader").alias("a"), F.col("node").alias("b")), "best")
-
-    def together(found: list[DataFrame]) -> DataFrame:
-        """node, root by all links so far."""
-        return components(reduce(DataFrame.union, found)) if found else spark.createDataFrame([], "node long, root long")
-
-    def grouped(found: list[DataFrame]) -> DataFrame:
-        """The lists, with the component of each entry so far."""
-        inner = met.filter("kind = 0").select("token", "node", "n", "pos").join(together(found), "node", "left")
-        return inner.select("token", "node", "n", "pos", F.coalesce("root", "node").alias("comp")).repartition(p, "token").sortWithinPartitions("token", "n", "node")
-
-    links = linked(met.filter("kind = 1").select("leader", "node", "n", "leader_n"), 1)
-    for turn in range(1, ROUNDS + 1):
-        links += linked(grouped(links).mapInArrow(more_stars(share, turn), LED), LEADERS)
-    cross = grouped(links).mapInArrow(crossing(share), "a long, b long, na long, nb long, lists long")
-    likely = cross.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("lists") >= shared_least("na", "nb", share))
-    roots = together(links + checked(likely.select("a", "b"), "likely"))
-    placed = every.select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
+    placed = grouped(docs, words, share, id_col, text_col)
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component: that of the smallest doc_id, a null one coming last, and then of the smallest
+    name of the text; of rows equal in doc_id and text one. Rows without shingles stay, all of them. All columns stay."""
+    placed = grouped(docs, words, share, id_col, text_col).filter("root is not null")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "k1", "k2")
+    texts_of = placed.groupBy("root", name.alias("name")).agg(F.count("*").alias("copies"))
+    first = texts_of.groupBy("root").agg(F.min("name").alias("first"))
+    fate = texts_of.join(first, "root").select("name.*", "copies", (F.col("name") == F.col("first")).alias("stays")).filter("copies > 1 or not stays")
+    fate = written(fate.select(F.col("unnamed").alias("__u"), F.col("doc_id").alias("__d"), F.col("k1").alias("__1"), F.col("k2").alias("__2"), "copies", "stays"), "fate")
+    id_ = F.col(id_col).cast("long")
+    k1, k2 = (k for k in keys(text_col))
+    named = docs.withColumn("__u", id_.isNull()).withColumn("__d", F.coalesce(id_, F.lit(0))).withColumn("__1", k1).withColumn("__2", k2)
+    on = ["__u", "__d", "__1", "__2"]
+    untouched = named.join(fate.select(*on), on, "left_anti")
+    single = named.join(fate.filter("stays").select(*on), on, "left_semi").dropDuplicates(on)
+    return untouched.unionByName(single).select(*docs.columns)
