@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from foliospark.llm.chunks import ChunkCodec
@@ -142,13 +143,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """bytes and text of `ids`. A text that ends or begins inside a character has U+FFFD there; its bytes are exact."""
+    """bytes and text of `ids`. Null and empty lists give empty ones; rows that repeat stay; an empty table gives no rows;
+    other columns are not read. A text that ends or begins inside a character has U+FFFD there; its bytes are exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for b in batches:
-            lists = b.column("ids").fill_null([]) if b.column("ids").null_count else b.column("ids")
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for b in slices(batches, "ids"):
+            lists = b.column("ids")
+            at = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
             data, to = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at)
             parts = [data[to[i] : to[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(parts, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())], ["doc_id", "bytes", "text"])

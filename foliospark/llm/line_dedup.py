@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import forget_all, written
 
 #: Leading words on the path to a leaf.
 DEPTH = 3
@@ -49,19 +49,20 @@ def agree(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e)) >= SIMILAR * F.size(x)
 
 
-def merged(keys: DataFrame) -> DataFrame:
+def merged(keys: DataFrame, into: list[str]) -> DataFrame:
     """leaf, m, g: masked lines whose template is that of another line, g."""
     shared = keys.filter("t is not null").groupBy("leaf").agg(F.min("m").alias("a"), F.max("m").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).filter("a <> b and c <> d").select("leaf")
     lines = keys.filter("t is not null").join(shared, "leaf", "left_semi")
     firsts = lines.groupBy("leaf", "m").agg(F.min("doc_id").alias("at"), F.first("t").alias("t"))
-    rest, found, most = written(firsts, "lines"), None, FOLD
+    rest, found, most = written(firsts, "lines", into), None, FOLD
     while not rest.isEmpty():
+        # as a table the heads are a small side or a side of their own, so that a hot leaf is split in the join
         turn = F.row_number().over(Window.partitionBy("leaf").orderBy("at", "m"))
         first = rest.withColumn("turn", turn).filter(F.col("turn") <= most).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("turn", "m", "t"))).alias("f"))
         heads = F.aggregate("f", F.slice("f", 1, 0), lambda heads, x: F.when(F.exists(heads, lambda h: agree(h["t"], x["t"])), heads).otherwise(F.concat(heads, F.array(x))))
-        near = rest.join(first.select("leaf", heads.alias("f")), "leaf")
+        near = rest.join(written(first.select("leaf", heads.alias("f")), "heads", into), "leaf")
         near = near.select("leaf", "m", "at", "t", F.get(F.filter("f", lambda h: agree(h["t"], F.col("t"))), F.lit(0))["m"].alias("g"))
-        near = written(near, "near")
+        near = written(near, "near", into)
         part = near.filter("m <> g").select("leaf", "m", "g")
         found = part if found is None else found.unionByName(part)
         rest, most = near.filter("g is null").select("leaf", "m", "at", "t"), min(MOST, most * FASTER)
@@ -69,26 +70,36 @@ def merged(keys: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row and drops: the places of the lines that a document loses, for documents that lose any."""
-    keys = written(keyed(docs, id_col, text_col), "lines")
-    templates = keys.select("row", "doc_id", "pos", "leaf", "m").join(merged(keys), ["leaf", "m"], "left").select("row", "doc_id", "pos", F.coalesce("g", "m").alias("g"))
-    templates = written(templates, "templates")
-    common = templates.groupBy("g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("g", "first")
-    return templates.join(common, "g").filter(F.col("doc_id") > F.col("first")).groupBy("row").agg(F.collect_set("pos").alias("drops"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with recurring lines taken out of the text, and _lines and _dropped: how many it had and lost.
+    """doc_id (a null one as the smallest number), row and drops: the places of the lines that a document loses, for
+    documents that lose any, written. A template is named by its leaf and its first line's hash, a document by its doc_id
+    and a hash."""
+    mine: list[str] = []
+    keys = written(keyed(docs, id_col, text_col), "lines", mine)
+    templates = keys.select("row", "doc_id", "pos", "leaf", "m").join(merged(keys, mine), ["leaf", "m"], "left").select("row", "doc_id", "pos", "leaf", F.coalesce("g", "m").alias("g"))
+    templates = written(templates, "templates", mine)
+    common = templates.groupBy("leaf", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("leaf", "g", "first")
+    common = written(common, "common", mine)
+    drops = templates.join(common, ["leaf", "g"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
+    drops = written(drops, "drops")
+    forget_all(docs.sparkSession, mine)
+    return drops
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None, dropped_col: str | None = None) -> DataFrame:
+    """docs with recurring lines taken out of the text; where asked for, under the given names, how many it had and lost.
 
     Null texts stay null and empty ones empty, with 0 and 1 lines. Rows that repeat count as one document and lose the
     same lines; rows of one doc_id don't make a line recur. A document may lose all its lines, and stays with an empty
-    text. A null doc_id is the smallest. An empty table gives no rows; all other columns stay."""
-    row, gone, split = "__line_dedup_row", "__line_dedup_drops", "__line_dedup_lines"
-    drops = recurring(docs, id_col, text_col).select(F.col("row").alias(row), F.col("drops").alias(gone))
+    text. A null doc_id is the smallest. An empty table gives no rows; all other columns stay, whatever their names."""
+    row, at, gone, split = "__line_dedup_row", "__line_dedup_id", "__line_dedup_drops", "__line_dedup_lines"
+    drops = recurring(docs, id_col, text_col).select(F.col("row").alias(row), F.col("doc_id").alias(at), F.col("drops").alias(gone))
     text = F.col(text_col)
-    marked = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), text)).join(drops, row, "left")
+    marked = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), text)).withColumn(at, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).join(drops, [at, row], "left")
     places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col(split), i)), "\n")
     out = marked.withColumn(split, F.split(text, "\n", -1))
-    out = out.withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept)).drop(row, gone, split)
+    if lines_col:
+        out = out.withColumn(lines_col, F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long"))
+    if dropped_col:
+        out = out.withColumn(dropped_col, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept)).drop(row, at, gone, split)

@@ -236,13 +236,18 @@ def tiles(share: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         kept: list[tuple] = []
+        many = 0
 
         def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal many
             for found in pairs(*cols):
-                kept.append(found)
-                if sum(len(k[0]) for k in kept) >= PAIRS:
+                if len(found[0]):
+                    kept.append(found)
+                    many += len(found[0])
+                if many >= PAIRS:
                     yield emit(*(np.concatenate(x) for x in zip(*kept, strict=True)))
                     kept.clear()
+                    many = 0
 
         for batch in batches:
             if not batch.num_rows:

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ class WordBpe:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of special tokens in a text are these tokens to the library, and stand in raw text, before folding
+        self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
@@ -72,7 +74,12 @@ class WordBpe:
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, at = flat(array)
-        return self.codec.ids(LOWER[data], at)
+        ids, to = self.codec.ids(LOWER[data], at)
+        odd = pc.match_substring_regex(array, self.special, ignore_case=True).to_numpy(zero_copy_only=False) if self.special else ()
+        if np.any(odd):  # such a text goes through the library whole
+            parts = [np.array(self.whole.encode(array[i].as_py(), add_special_tokens=False).ids, np.uint32) if odd[i] else ids[to[i] : to[i + 1]] for i in range(len(array))]
+            ids, to = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        return ids, to
 
 
 @functools.lru_cache(maxsize=2)

@@ -69,15 +69,15 @@ This License applies to the Software.
 Licensed under the Apache License, Version 2.0.
 All rights reserved.
 Released under the MIT License.
-Thanin the ofhe and that ereston.
-Erhea was on the anding of it.
-And then it is by the onshe.
+Walking along the shore and back was all.
+Rain was on the roof of it.
+And then it is by the water.
 Der Tag war lang und die Nacht kalt.
 Die Stadt und das Haus sind alt.
 La casa es grande y el sol brilla.
 Les enfants et la mer sont ici.
-Enau ist zu der auf mit.
-Reheon to the of erwhin that.
+Man ist hier auf dem Weg.
+Nobody came to the end of that.
 We paid 100 dollars for the street lamp.
 The road was closed for 3 days.
 My name is not on the list.
@@ -91,16 +91,14 @@ Call us on Monday or Friday in May.
 Breaking: The Big Day Is Here
 Table | Chair | Lamp | Desk
 Note: this is only a test.
-Oned edandti. Thwh ofon an.
-Thoner$$$ to%%% ththwh$$$ the&&& onor*** rend*** Er%%% thor,### of.
-Enelleeux*** ai%%% les&&& Du%%% Leant.### De*** 12### la%%% Que&&&
-Is the | Here is | Onan | That was | erth. | Was
+Nothing moved. Silence fell over us.
+Price$$$ up%%% now*** for### All&&& Sale%%% Ends,### soon.
+Big*** Sale%%% Today&&& Only.### Buy*** 12### Get%%% More&&&
+Home | About us | Terms | Help page | Log in | Search
 See [1] and (2) or http://site/path?x=1 for more == and -- that.
 A_b = c_d + 4 * e; F(x) -> {y}
 Is Here not There? It Was Then. That Is All.
 """
-#: A longer run of tagged words is neither a name nor an address.
-MOST_WORDS = 6
 CLOSING = ".,;:!?)]}\"'"
 OPENING = "([{\"'"
 PLAIN = re.compile(r"[a-z]+ \Z").match
@@ -110,7 +108,7 @@ ABBREVIATED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Attn|[A-Z])\.\Z")
 def shape(word: str) -> str:
     """Letters as X or x, digits as d, all but .'- as ?; a repeat of one kind counts once."""
     out = ""
-    for c in word[:40]:
+    for c in word:  # of any length; a word is looked at once a batch
         k = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c if c in ".'-" else "?"
         if out[-1:] != k:
             out += k
@@ -296,7 +294,7 @@ class Reader:
             s, _ = stripped(distinct[which[i]].decode("utf-8", "replace"))
             _, e2 = stripped(distinct[which[j - 1]].decode("utf-8", "replace"))
             a, z = int(points[begin[i]]) - base + s, int(points[begin[j - 1]]) - base + e2
-            if z > a and j - i <= MOST_WORDS:
+            if z > a:
                 out[doc].append(Span(TAGS[tags[i]][2:], a, z))
         return out
 
@@ -352,11 +350,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans themselves, base and added, of each document; null and empty texts have none, as in `find`."""
     field = trained()
     return sp.listed(docs, lambda: detector(field), KINDS, id_col, text_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with <kind> in place of personal data."""
+    """docs with <kind> in place of personal data. Null texts stay null and empty ones empty; rows that repeat stay; an
+    empty table gives no rows; all other columns stay."""
     field = trained()
     return sp.redact(docs, lambda: detector(field), text_col)

@@ -25,8 +25,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines_col="n_lines", dropped_col="n_dropped")
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import flat, slices, texts
+from foliospark.llm.common import flat, slices, spread, texts
 
 #: About as many labelled rows are learnt from, dealt by a hash of doc_id; more are not.
 SAMPLE = 10_000
@@ -27,6 +27,8 @@ FEATURES, OCCURRENCES = 4096, 4
 BEGINNINGS = (4, 5, 6)
 #: Weight of the counterfactual term, of the absolute weights, and steps of the descent.
 FAIRNESS, SPARSE, STEPS = 1.0, 2e-4, 400
+#: Log odds of every text where nothing can be learnt: a score of 0.25.
+UNTOLD = -float(np.log(3))
 # Identity terms by kind. Terms of one line stand for each other.
 IDENTITY = [
     ["women", "men", "girls", "boys"],
@@ -89,8 +91,6 @@ class Model(NamedTuple):
         starts = np.cumsum(counts) - counts
         pool = np.array([x for h in hit for x in h], np.int64)
         n = counts[which[busy]]
-        from foliospark.llm.common import spread
-
         found = pool[spread(starts[which[busy]], n)] if len(busy) else pool[:0]
         once = np.unique(np.repeat(row[busy], n) * len(self.features) + found) if len(found) else found
         z = np.bincount(once // max(1, len(self.features)), weights=self.weights[once % max(1, len(self.features))], minlength=len(array))[: len(array)] if len(once) else np.zeros(len(array))
@@ -135,9 +135,8 @@ def fit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]]) -> Model:
     """Proximal descent with momentum on logistic loss, fairness term and absolute weights."""
     features = select([(y, f) for y, f, _ in rows])
     y = np.array([r[0] for r in rows], float)
-    if not len(features) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(features[:0], np.zeros(0), float(np.log(share / (1 - share))))
+    if not len(features) or y.min() == y.max():  # nothing tells the labels apart, so nothing is rejected
+        return Model(features[:0], np.zeros(0), UNTOLD)
 
     def sparse(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = [np.searchsorted(features, f) for f in lists]
@@ -177,15 +176,22 @@ def fit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows that aren't held out: all, or about `sample` of them by a hash of doc_id.
+    """A model from labelled rows that aren't held out: all, or about `sample` of them by a hash of doc_id; of a doc_id that
+    many rows share, with different texts, about as many again by a hash of the text. At most about two samples are held.
 
-    Rows without a label, doc_id or text don't count; a doc_id with both labels is learnt as both."""
+    Rows without a label, doc_id or text don't count; a doc_id with both labels is learnt as both, and rows that repeat
+    once. Without labels of both kinds the model scores every text 0.25."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    n = known.count()
-    share = min(1.0, sample / max(1, n))
-    part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def about(df: DataFrame, n: int, *by: str) -> DataFrame:
+        part = min(1.0, sample / max(1, n))
+        return df if part == 1.0 else df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 62)) < int(part * (1 << 62)))
+
+    part = about(known, known.count(), "doc_id")
     # at most about `sample` rows, so broadcasting them is bounded
-    chosen = texts(docs.filter(F.col("text").isNotNull())).join(F.broadcast(part), "doc_id")
+    named = texts(docs.filter(F.col("text").isNotNull())).join(F.broadcast(part), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("name"))
+    rows = named.count()
+    chosen = (named if rows <= 2 * sample else about(named, rows, "doc_id", "name")).dropDuplicates(["doc_id", "toxic", "name"]).drop("name")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -215,7 +221,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns stay."""
+    """docs without the rows that score 0.5 or more; null and empty texts have the score of no features; rows that repeat
+    go or stay together; an empty table gives no rows; all columns stay."""
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())

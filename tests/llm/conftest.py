@@ -1,7 +1,7 @@
 import pytest
 
 #: Names that operators use inside; extra columns of these names must not disturb them.
-CLASHING = "row n node kind length piece score w pos g m t size shard leaf drops x label toxic held_out rank token ids spans".split()
+CLASHING = "row n node kind length piece score w pos g m t size shard leaf drops x label toxic held_out rank token ids spans _lines _dropped k1 k2 n1 root comp bits row_number".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 LONG = " ".join(f"word{i % 977} and {i % 13}" for i in range(30_000))
@@ -35,6 +35,15 @@ def odd(spark):
     return table(spark, ODD).union(table(spark, ODD[6:7], 6))
 
 
+@pytest.fixture(scope="session")
+def nameless(spark):
+    """Rows without a doc_id, two texts of one doc_id, and rows that repeat."""
+    tail = ["x"] * len(CLASHING)
+    long = "one line of quite a few words that some other rows have as well"
+    texts = [(None, long), (None, long), (None, long + " too"), (None, None), (None, ""), (1, long), (5, long), (5, "a text of its own that nothing else has at all"), (5, None), (7, "pwd = 'k9Jx82hQpLm'"), (7, "pwd = 'k9Jx82hQpLm'")]
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *tail) for i, t in texts], SCHEMA)
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return table(spark, [])

@@ -85,16 +85,19 @@ def test_word_bpe_equals_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    texts = strings(3000, 60) + ["<|endoftext|> İi̇ ÀÉ x̂", "HELLO World's don't", "Å Å ≠ ≠"]
+    texts = strings(3000, 60) + ["<|endoftext|> İi̇ ÀÉ x̂", "Foo<|endoftext|>. BAR<|startoftext|><|ENDOFTEXT|>", "HELLO World's don't", "Å Å ≠ ≠"]
     own = packing.codec(WORDS)
     ids, at = own.encode(pa.array(texts))
     for i, (t, e) in enumerate(zip(texts, whole.encode_batch(texts, add_special_tokens=False))):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids, t
 
 
+#: The contract's own words.
+ASSIGNED = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+
+
 def secret_base(t):
-    out = [("assign", *m.span()) for m in secret_scan.ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out = [("assign", *m.span()) for m in ASSIGNED.finditer(t) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     return sorted(out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
@@ -116,7 +119,24 @@ def test_secret_base_spans():
         ("signingKey := `Zx81!kk2mmQ`", ["Zx81!kk2mmQ"]),
         ('title = "k9Jx82hQpLm"', []),
         ('db_pwd = "changeme"', []),
+        ('db_pwd = "your_own_Password_77"', []),
         ("the key: a door opens", []),
+        ('passphrase = os.getenv("PASS_PHRASE1")', []),
+        ('user_passcode = config.get("x9x9x9x9Q")', []),
+        ("private_key = settings.PRIVATE_KEY_PATH", []),
+        ('msg = "set client_passphrase = x9Kq77zz81 now"', []),
+        ('f(a: b, title = "k9Jx82hQpLm")', []),
+        ('cfg["db_pwd"] = "k9Jx82hQpLm"', ["k9Jx82hQpLm"]),
+        ("<passphrase>k9Jx82hQpLm</passphrase>", ["k9Jx82hQpLm"]),
+        ("tool --passphrase k9Jx82hQpLm -d x", ["k9Jx82hQpLm"]),
+        ('seed = "k9Jx82"\ndb_pwd = seed + "hQpLm77"', ["k9Jx82", "hQpLm77"]),
+        ('client_pwd = LATER\nLATER = "k9Jx82hQpLm"', ["k9Jx82hQpLm"]),
+        ('a = pwd = "k9Jx82hQpLm"', ["k9Jx82hQpLm"]),
+        ("db_pwd: hunter2hunter2", ["hunter2hunter2"]),
+        ("export DB_PWD=${SEED}\nSEED=hunter2-hunter2", ["hunter2-hunter2"]),
+        ("don't pwd = 'k9Jx82hQpLm'", ["k9Jx82hQpLm"]),
+        ('x = y\ny = x\npwd = x + "k9Jx82hQpLm"', ["k9Jx82hQpLm"]),
+        ('db_pwd = """k9Jx82"hQpLm"""', ['k9Jx82"hQpLm']),
         ("if x == password", []),
     ],
 )
@@ -129,7 +149,7 @@ def test_secret_literals_of_any_length():
     for text in (f'private_key = "{value}"', f'x = "{value}"\npassphrase: str = x', f"{'a' * 300}_passphrase = '{value}'", f'credentials{" " * 500}= "{value}"', f'passphrase: {"A | " * 80}str = "{value}"'):
         assert [text[s.start : s.end] for s in secret_scan.literals(text)] == [value]
     # time in proportion to the text: many signs, runs of blanks, and open quotes on one line
-    for text in ("a = " * 100_000, "a: b" + " " * 400_000 + ";=" * 1000, "a=\"b c='d e=`f " * 20_000, "x" * 400_000 + "=" + "\\=" * 50_000):
+    for text in ("<a" * 100_000, '["a' * 50_000, "a: b|" * 50_000, "a: [b" * 50_000, "--a " * 50_000, "pwd = a + " * 50_000, "pwd=x;x='" + "y" * 100_000 + "';" + "pwd=x;" * 30_000, "a = " * 100_000, "a: b" + " " * 400_000 + ";=" * 1000, "a=\"b c='d e=`f " * 20_000, "x" * 400_000 + "=" + "\\=" * 50_000):
         began = time.process_time()
         secret_scan.literals(text)
         assert time.process_time() - began < 5
@@ -206,6 +226,21 @@ def test_names_and_addresses():
     assert right >= 0.95 * len(lines)
 
 
+def test_names_and_addresses_in_lines_not_learnt():
+    reader = pii.Reader(pii.trained())
+    lines = ["Please contact {Walter Stone} for details.", "Dear {Agnes Field}, thank you for the book.", "Mrs. {Rosa Winter} will call you on Friday.", "She lives at {31 Birch Street} with her son.", "Ship it to {8 River Road} before Monday.", "The river was wide and the water cold.", "Released under the new license.", "There are 14 chairs and 3 tables here.", "All of them went home in the end."]
+    right = 0
+    for line in lines:
+        plain = line.replace("{", "").replace("}", "")
+        found = [plain[s.start : s.end] for s in reader.find(pa.array([plain]))[0]]
+        right += found == re.findall(r"\{([^}]*)\}", line)
+    assert right >= 8
+    # a word and a run of any length count whole
+    name = "Mr. " + " ".join(["Greg"] * 9)
+    assert pii.shape("x" * 100 + "9") == "xd"
+    assert all(s.end <= len(name) for s in reader.find(pa.array([name]))[0])
+
+
 def test_pii_queries(odd, empty):
     rows = {r["doc_id"]: r for r in pii.find(odd).collect()}
     for i, t in {r["doc_id"]: r["text"] or "" for r in odd.collect()}.items():
@@ -246,7 +281,10 @@ def test_toxicity_held_out_and_fair(spark, odd, empty):
     out = toxicity.score(odd, model).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score(empty, model).count() == 0
-    assert toxicity.learn(docs, labels.limit(0)).scores(pa.array(["x"]))[0] <= 0.5
+    for few in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0")):
+        untold = toxicity.learn(docs, few)
+        assert set(untold.scores(pa.array(["x", ""]))) == {0.25}
+        assert toxicity.reject(docs, untold).count() == docs.count()
     assert toxicity.reject(odd, model).columns == odd.columns
 
 
@@ -259,6 +297,41 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert (a.features == b.features).all() and np.allclose(a.weights, b.weights)
 
 
+def test_toxicity_fit_is_a_minimum_and_fair(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        y = int(i % 3 == 0)
+        f = set(rng.choice(40, 12, replace=False).tolist()) | ({100} if y and rng.random() < 0.9 else set()) | ({101} if rng.random() < (0.7 if y else 0.1) else set())
+        alt = [np.array(sorted(f - {101} | {102}), np.uint32)] if 101 in f else []
+        rows.append((y, np.array(sorted(f | ({102} if i % 11 == 0 else set())), np.uint32), alt))
+    model = toxicity.fit(rows)
+    place = {int(f): i for i, f in enumerate(model.features)}
+    n, pos = len(rows), sum(r[0] for r in rows)
+
+    def loss(w, b):
+        z = lambda f: sum(w[place[int(x)]] for x in f if int(x) in place)
+        fit = sum((0.5 / n + 0.25 / (pos if y else n - pos)) * np.log1p(np.exp(-(z(f) + b) * (1 if y else -1))) for y, f, _ in rows)
+        pairs = [(z(f) - z(a)) ** 2 for _, f, alts in rows for a in alts]
+        return fit + toxicity.FAIRNESS * np.mean(pairs) + toxicity.SPARSE * np.abs(w).sum()
+
+    best = loss(model.weights, model.bias)
+    for _ in range(30):
+        step = rng.normal(size=len(model.weights)) * 0.05
+        assert loss(model.weights + step, model.bias + rng.normal() * 0.02) > best - 1e-6
+    weight = lambda f: model.weights[place[f]] if f in place else 0.0
+    assert weight(100) > 1 and abs(weight(101) - weight(102)) < 0.3 * weight(100)
+
+
+def test_toxicity_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i % 700}") for i in range(1400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(len(rows)))
+    toxicity.learn(docs, labels, sample=50)
+    assert 0 < seen[0] <= 100
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -298,3 +371,42 @@ def test_quality_drops_unlike_texts(spark):
     kept = {r["doc_id"] for r in quality.judge(docs, labels).collect() if r["kept"]}
     failed = {r["doc_id"] for r in quality.judge(docs, labels).collect() if r["base_failed"]}
     assert kept >= set(range(120)) - failed and not kept & set(range(120, 150))
+
+
+def test_quality_log_ratio_equals_plain_counts(spark):
+    """The ratios and means worked out from the texts, with the hash of words alone taken from the public one."""
+    from math import log
+
+    import xxhash
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["aa", "bb", "cc", "dd", "é"]) for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(0, 60, 3) if i % 2 == 0}
+
+    def grams(t):
+        w = t.split()
+        one = [xxhash.xxh64_intdigest(a.encode(), seed=42) for a in w]
+        return [h % quality.BUCKETS for h in [*one, *(xxhash.xxh64_intdigest(b.encode(), seed=h) for h, b in zip(one, w[1:]))]]
+
+    trusted, raw = {}, {}
+    for i, t in enumerate(texts):
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            trusted[g] = trusted.get(g, 0) + (i in good)
+    share = (sum(trusted.values()) + 1) / (sum(raw.values()) + 1)
+    ratio = {g: log((trusted[g] + quality.SMOOTHING * share) / (raw[g] + quality.SMOOTHING)) - log(share) for g in raw}
+    for r in quality.judge(docs, labels).collect():
+        g = grams(texts[r["doc_id"]])
+        want = sum(ratio[x] for x in g) / max(1, len(g))
+        assert abs(r["log_ratio"] - want) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality.THRESHOLD)
+
+
+def test_rows_without_a_name(spark, nameless):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    n = nameless.count()
+    frames = [bpe.round_trip(nameless, RANKS, P.PATTERN), bpe.decode(bpe.encode(nameless, RANKS, P.PATTERN), RANKS, P.PATTERN), toxicity.score(nameless, toxicity.learn(nameless, labels)), secret_scan.scan(nameless), pii.find(nameless), quality.judge(nameless, labels), packing.pieces(nameless, WORDS)]
+    for frame in frames:
+        assert frame.count() == n and frame.filter("doc_id is null").count() == 5
