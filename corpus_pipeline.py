@@ -6,14 +6,11 @@ beyond doc_id, text and n_chars pass untouched, and n_chars follows the text whe
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
-from foliospark.llm.common import scratch_root, table
+from foliospark.llm.common import forget_all, table, written
 from foliospark.llm.queries import tokenizer
 
 #: Words of a shingle, and per cent of the union that near duplicates share. Those of op7_ngram_join bind that query alone.
@@ -28,30 +25,33 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go. It learns from labelled documents that aren't held out."""
+    """Documents that the toxicity classifier rejects go. It learns from labelled documents that aren't held out; without
+    labels of both kinds nothing is rejected. Null and empty texts and repeated rows are scored each; an empty table gives
+    no rows."""
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for those of one document; every document stays."""
+    """Lines of templates that recur across documents go, but for those of one document; every document stays, if
+    with an empty text. A null text stays null; an empty table gives no rows; columns of any name pass."""
     return _recounted(line_dedup.dedup(docs), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one of the smallest doc_id stays, and of rows that repeat one."""
-    found = ngram_join.join(docs, words=NEAR_WORDS, share=NEAR_SHARE)
-    kept = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "text"]) if repeated else kept).select(*docs.columns)
+    """Of near-duplicate documents the one of the smallest doc_id stays, and of rows equal in doc_id and text one. Null
+    and empty texts are near nothing: all of them stay. An empty table gives no rows."""
+    return ngram_join.representatives(docs, words=NEAR_WORDS, share=NEAR_SHARE)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; every document stays."""
+    """Secrets are replaced by their kind; every document stays, repeated rows each; null texts stay null; an empty table
+    gives no rows."""
     return _recounted(secret_scan.redact(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, tokenised and packed into sequences."""
+    """All documents, tokenised and packed into sequences; null and empty texts and repeated rows are documents each; an
+    empty table gives no rows."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
@@ -69,10 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each but the last written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), os.path.join(scratch_root(spark), f"pipeline-{uuid.uuid4().hex}")
+    """The stages over documents, each but the last written to the shared folder and read again; a table goes once the next
+    one is there."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        path = os.path.join(folder, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        now: list[str] = []
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", now)
+        forget_all(spark, read)
+        read = now
+    done = STAGES[-1][1](spark, docs, sf_dir)  # pieces are a table already, so nothing reads the last stage again
+    forget_all(spark, read)
+    return done
