@@ -303,7 +303,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int, into: list[str]) ->
 
 def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2 (the text's name), n (set size), root (the same for rows of one component, null for empty sets) of
-    every row, written."""
+    every row, written. Joins on lists are merge joins at every size: both sides grow with the corpus."""
     spark = docs.sparkSession
     read = texts(docs, id_col, text_col)
     scratch: list[str] = []
@@ -313,7 +313,7 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
     entries = once.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n long, pos int")
     # most shingles are of one set alone
     shared = written(entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared", scratch)
-    met = ranked(entries.join(shared, "token")).withColumn("block", F.floor(F.log("n") / math.log(100 / share)).cast("int"))
+    met = ranked(entries.join(shared.hint("merge"), "token")).withColumn("block", F.floor(F.log("n") / math.log(100 / share)).cast("int"))
     met = written(met, "lists", scratch)
     links: list[DataFrame] = []
     sets: list[DataFrame] = []
@@ -325,9 +325,9 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
     def placed(into: list[str]) -> DataFrame:
         """Entries of those lists that still hold several components; live counts only these."""
         mine: list[str] = []
-        now = written(met.join(together(mine), "node", "left").select("token", "node", "n", "pos", "block", F.coalesce("root", "node").alias("comp")), "placed", mine)
+        now = written(met.join(together(mine).hint("merge"), "node", "left").select("token", "node", "n", "pos", "block", F.coalesce("root", "node").alias("comp")), "placed", mine)
         mixed = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-        mixed = written(ranked(now.join(mixed, "token")), "mixed", into)
+        mixed = written(ranked(now.join(mixed.hint("merge"), "token")), "mixed", into)
         forget_all(spark, mine)
         return mixed
 
@@ -354,7 +354,7 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
         lists = lists.withColumn("e", F.struct("pos", F.xxhash64("node").alias("mix"), "node", "n", "live", "total", "comp"))
         heads = lists.groupBy("token", "block").agg(F.min("e").alias("front"), F.min_by("e", F.struct("comp", "e")).alias("low"), F.max_by("e", F.struct("comp", -F.col("pos"), F.xxhash64("node"))).alias("high"))
         heads = heads.select("token", "block", F.explode(F.array_distinct(F.array("front", "low", "high"))).alias("l"))
-        near = lists.select("token", "block", "e").join(heads, ["token", "block"]).filter("e.comp <> l.comp").filter(may_link("e", "l", share))
+        near = lists.select("token", "block", "e").join(heads.hint("merge"), ["token", "block"]).filter("e.comp <> l.comp").filter(may_link("e", "l", share))
         pairs = near.groupBy(F.col("l.node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("lists"), F.first("l.n").alias("na"), F.first("e.n").alias("nb"))
         likely = pairs.filter(2 * F.col("lists") >= shared_least("na", "nb", share))
         return checked(likely.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "best")
@@ -366,14 +366,14 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
         forget_all(spark, mine)
     left = placed(scratch)
     size = left.groupBy("token").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    dealt = left.join(size, "token").join(once.select("node", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = left.join(size.hint("merge"), "token").join(once.select("node", "bits").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "pos", "live", "total", "comp", "bits")
     dealt = dealt.repartition(partitions(spark), "token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "node")
     cross = dealt.mapInArrow(tiles(share), "a long, b long, na long, nb long, lists long")
     likely = cross.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("lists") >= shared_least("na", "nb", share))
     checked(likely.select("a", "b"), "likely")
     roots = once.select("h1", "h2", "node").join(together(scratch), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    done = written(every.select("doc_id", "k1", "k2", "n", "h1", "h2").join(roots, ["h1", "h2"], "left").select("doc_id", "k1", "k2", "n", "root"), "grouped")
+    done = written(every.select("doc_id", "k1", "k2", "n", "h1", "h2").join(roots.hint("merge"), ["h1", "h2"], "left").select("doc_id", "k1", "k2", "n", "root"), "grouped")
     forget_all(spark, scratch)
     return done
 
@@ -386,7 +386,7 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str =
     other columns are not read."""
     placed = grouped(docs, words, share, id_col, text_col)
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return placed.join(least.hint("merge"), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
