@@ -25,8 +25,11 @@ def score_amount(text: Column) -> Column:
 
 
 def cost(prompt: Column, completion: Column, input_price: Column, output_price: Column) -> Column:
-    """In dollars from prices per million tokens; unknown prices or usage give null."""
-    return F.round(prompt / 1e6 * input_price + completion / 1e6 * output_price, 6)
+    """In dollars from prices (decimals) per million tokens; unknown prices or usage give null.
+
+    Tokens times prices are exact millionths of a dollar, rounded once, half away from zero."""
+    exact = prompt.cast("decimal(18,0)") * input_price.cast("decimal(12,4)") + completion.cast("decimal(18,0)") * output_price.cast("decimal(12,4)")
+    return F.round(exact, 0).cast("double") / F.lit(1e6)
 
 
 def slab_tax(income: Column, slabs: list[tuple[float, float]]) -> Column:

@@ -134,6 +134,19 @@ def blocked_addresses(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", markup.blocked(ip).alias("blocked"))
 
 
+URLS = {
+    "https://example.org/hook": None, "http://example.org:8080/a?b=c": None, "ftp://example.org/x": "scheme", "gopher://example.org": "scheme", "no url": "scheme", "https:///path": "host", "http://LOCALHOST:9000/x": "host name", "http://metadata.google.internal/v1": "host name", "http://169.254.169.254/latest": "host name", "http://10.1.2.3/": "address",
+    "http://172.31.0.9:80": "address", "http://172.32.0.9": None, "http://user:pass@192.168.1.1/": "address", "http://[::1]/x": "address", "http://[fd12:3456::1]:8080/": "address", "http://[fe80::1]/": "address", "http://[2001:db8::1]/": None, "https://100.64.0.1/": "address", "https://198.19.255.255": "address", "https://8.8.8.8/": None,
+}
+
+
+# the SQL has what each URL must give, one by one
+@query(f"""WITH w(i, refusal) AS (VALUES {", ".join(f"({i}, {'NULL' if w is None else repr(w)})" for i, w in enumerate(URLS.values()))}) SELECT event_id, refusal FROM events JOIN w ON i = event_id % {len(URLS)}""")
+def url_refusals(spark: SparkSession, d: str) -> DataFrame:
+    url = F.element_at(F.array(*map(F.lit, URLS)), (F.col("event_id") % len(URLS) + 1).cast("int"))
+    return load(spark, d, "events").select("event_id", markup.refusal(url).alias("refusal"))
+
+
 @query("SELECT event_id, CASE WHEN k = 3 THEN 'extension' WHEN event_id % 50 = 0 THEN 'empty' WHEN event_id % 49 = 0 THEN 'too large' WHEN k = 1 THEN 'content' END AS error FROM (SELECT *, event_id % 4 AS k FROM events)")
 def upload_checks(spark: SparkSession, d: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("event_id") % 4

@@ -151,9 +151,9 @@ def session_usage(spark: SparkSession, d: str) -> DataFrame:
 PRICES = [("click", 0.29, 0.59), ("view", 0.15, 0.60), ("purchase", 2.50, 10.00)]
 
 
-@query(f"""WITH {CALLS}, p(call_type, i, o) AS (VALUES {', '.join(map(str, PRICES))}) SELECT event_id, CASE WHEN cache_hit THEN 0.0 ELSE round(tokens / 1e6 * i + tokens * 2 / 1e6 * o, 6) END AS usd FROM c LEFT JOIN p USING (call_type)""")
+@query(f"""WITH {CALLS}, p(call_type, i, o) AS (VALUES {', '.join(map(str, PRICES))}) SELECT event_id, CASE WHEN cache_hit THEN 0.0 ELSE round(tokens::DECIMAL(18,0) * i::DECIMAL(12,4) + (tokens * 2)::DECIMAL(18,0) * o::DECIMAL(12,4), 0)::DOUBLE / 1e6 END AS usd FROM c LEFT JOIN p USING (call_type)""")
 def call_cost(spark: SparkSession, d: str) -> DataFrame:
-    prices = F.broadcast(spark.createDataFrame(PRICES, "call_type string, i double, o double"))  # the price list
+    prices = F.broadcast(spark.createDataFrame(PRICES, "call_type string, i double, o double"))  # the price list, of a few rows
     priced = calls(spark, d).join(prices, "call_type", "left")
     return priced.select("event_id", F.when(F.col("cache_hit"), 0.0).otherwise(money.cost(F.col("tokens"), F.col("tokens") * 2, F.col("i"), F.col("o"))).alias("usd"))
 

@@ -19,6 +19,11 @@ LARGEST = 50 * 1024 * 1024
 # Networks that an outgoing call must not reach, IPv4 as (first, prefix length).
 BLOCKED = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("0.0.0.0", 8), ("100.64.0.0", 10), ("198.18.0.0", 15), ("240.0.0.0", 4)]
 
+# IPv6 networks of the same kind, as patterns of their first groups in lower case.
+BLOCKED_V6 = r"^(::1|0:0:0:0:0:0:0:1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
+# Hosts that an outgoing call must not name.
+BLOCKED_HOSTS = ["localhost", "localhost.localdomain", "metadata", "metadata.google.internal", "169.254.169.254", "100.100.100.200"]
+
 
 def page_text(html: Column) -> Column:
     """Visible lines of a page: unwanted elements out, the body's text, lines stripped, blank ones dropped."""
@@ -77,6 +82,15 @@ def blocked(ip: Column) -> Column:
     return reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False))
 
 
+def refusal(url: Column) -> Column:
+    """Why an outgoing call may not go to a URL, by what it says itself; null where it may. Names aren't looked up."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    named = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    host = F.regexp_replace(named, r"[\[\]]", "")
+    private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(host.rlike(BLOCKED_V6))
+    return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
+
+
 def table_rows(text: Column) -> Column:
     """Pipe-table lines of a Markdown text as arrays of cells, without the dashes under the header."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~F.replace(F.translate(F.trim(x), "|:- ", ""), F.lit(" "), F.lit("")).eqNullSafe(""))

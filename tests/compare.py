@@ -30,7 +30,7 @@ def plain(x):
     if hasattr(x, "item"):
         x = x.item()
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return round(float(x), 4)
+        return float(x)
     if isinstance(x, (list, tuple)):
         return tuple(map(plain, x))
     if isinstance(x, dict):
@@ -38,13 +38,28 @@ def plain(x):
     if hasattr(x, "asDict"):
         return plain(x.asDict())
     if hasattr(x, "isoformat"):
-        return x.isoformat()[:19]
+        return x.isoformat().split("+")[0]
     return x
 
 
+def close(g, w) -> bool:
+    """Equal, and numbers within 1e-9 of each other's size (or 1e-9)."""
+    if isinstance(g, tuple) and isinstance(w, tuple):
+        return len(g) == len(w) and all(map(close, g, w))
+    if isinstance(g, float) and isinstance(w, float):
+        return g == w or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)
+    return g == w
+
+
+def sortable(row: tuple) -> str:
+    """Rows in an order that the last digits of a number don't change."""
+    short = lambda x: tuple(map(short, x)) if isinstance(x, tuple) else f"{x:.6g}" if isinstance(x, float) else x
+    return repr(short(row))
+
+
 def rows(names: list[str], data) -> list:
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=sortable)
 
 
 def same(df, con, sql: str) -> int:
@@ -55,5 +70,5 @@ def same(df, con, sql: str) -> int:
     assert sorted(df.columns) == sorted(names), (sorted(df.columns), sorted(names))
     assert len(got) == len(want), (len(got), len(want))
     for g, w in zip(got, want, strict=True):
-        assert g == w, (g, w)
+        assert close(g, w), (g, w)
     return len(got)
