@@ -149,10 +149,16 @@ def names(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return half(64), half(0)
 
 
-def parity(s: np.ndarray) -> bytes:
-    """How many shingles of the set fall on each bit, odd or even."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """How many shingles of the set fall on each bit, odd or even, as 64-bit words."""
     odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near_enough(x: str, y: str, na: str, nb: str, share: int) -> Column:
+    """Whether sets of these sizes and parity maps may be linked: they differ in as many shingles as their maps in bits."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    return F.col(na) + F.col(nb) - apart >= 2 * needed_sql(na, nb, share)
 
 
 def keys(text: str = "text") -> list[Column]:
@@ -160,7 +166,7 @@ def keys(text: str = "text") -> list[Column]:
     return [F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
 
 
-EVERY = "row long, doc_id long, k1 long, k2 long, n long, h1 long, h2 long, prefix binary, bits binary"
+EVERY = "row long, doc_id long, k1 long, k2 long, n long, h1 long, h2 long, prefix binary, bits array<long>"
 
 
 def prepared(docs: DataFrame, words: int, share: int, into: list[str]) -> DataFrame:
@@ -172,7 +178,7 @@ def prepared(docs: DataFrame, words: int, share: int, into: list[str]) -> DataFr
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), words)
             pre = [s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: prefix_size(len(s), share)]].tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), *names(sets), pa.array(pre, pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "k1", "k2", "n", "h1", "h2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), *names(sets), pa.array(pre, pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "k1", "k2", "n", "h1", "h2", "prefix", "bits"])
 
     return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *keys()).mapInArrow(run, EVERY), "sets", into)
 
@@ -253,7 +259,7 @@ def tiles(share: int):  # noqa: ANN201
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            cols.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
             # no tile is torn; one holds 2 x TILE entries on average
             last = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]))[0])
             ends = bool(held) and any(held[-1][i][-1] != cols[i][0] for i in range(3))
@@ -335,16 +341,21 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
         """Adds those pairs that are linked to the links; whether they are worth another round."""
         mine: list[str] = []
         worth = False
-        pairs = written(pairs, name, mine)
+        tried = written(pairs, name, mine)
+        pairs = tried
+        for end in ("a", "b"):
+            pairs = pairs.join(once.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}")), end)
+        pairs = written(pairs.filter(near_enough("bits_a", "bits_b", "na", "nb", share)).select("a", "b"), name, mine)
         if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", mine)
+            wanted = ends
             for known in sets:
                 wanted = wanted.join(known.select("node"), "node", "left_anti")
             # as a table its size is known, so that it is broadcast only where small
             wanted = written(once.select("node", "doc_id", "k1", "k2").join(wanted, "node"), "wanted", mine)
             sets.append(shingled(read, wanted, words, scratch))
-            links.append(verified(pairs, reduce(DataFrame.union, sets), share, scratch))
-            worth = links[-1].count() * YIELD >= pairs.count()
+            links.append(verified(pairs, reduce(DataFrame.union, sets).join(ends, "node", "left_semi"), share, scratch))
+            worth = links[-1].count() * YIELD >= tried.count()
         forget_all(spark, mine)
         return worth
 
@@ -365,8 +376,9 @@ def grouped(docs: DataFrame, words: int = WORDS, share: int = SHARE, id_col: str
         worth, turns = led(placed(mine)), turns + 1
         forget_all(spark, mine)
     left = placed(scratch)
-    size = left.groupBy("token").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    dealt = left.join(size.hint("merge"), "token").join(once.select("node", "bits").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    # lists of a single tile need no further dealing, and are most of them
+    size = left.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > TILE).select("token", F.ceil(F.col("c") / TILE).alias("tiles"))
+    dealt = left.join(size, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))).join(once.select("node", "bits").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "pos", "live", "total", "comp", "bits")
     dealt = dealt.repartition(partitions(spark), "token", "a", "b").sortWithinPartitions("token", "a", "b", "n", "node")
     cross = dealt.mapInArrow(tiles(share), "a long, b long, na long, nb long, lists long")
