@@ -259,7 +259,7 @@ def tiles(share: int):  # noqa: ANN201
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-            cols.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            cols.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
             # no tile is torn; one holds 2 x TILE entries on average
             last = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]))[0])
             ends = bool(held) and any(held[-1][i][-1] != cols[i][0] for i in range(3))

@@ -121,7 +121,7 @@ def test_parity_maps_bound_differences():
     rng = np.random.default_rng(3)
     for _ in range(50):
         x, y = (np.unique(rng.integers(0, 900, rng.integers(1, 400)).astype(np.uint64) << np.uint64(40)) for _ in range(2))
-        maps = [ngram_join.parity(s) for s in (x, y)]
+        maps = [ngram_join.parity(s).view(np.uint64) for s in (x, y)]
         assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(x, y))
 
 
