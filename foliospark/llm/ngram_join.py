@@ -39,6 +39,8 @@ SKETCH, BLOCK = 1 << 20, 1 << 14
 YIELD, ROUNDS = 50, 6
 #: Bits of a set's parity map: two maps differ in no more bits than the sets do in shingles.
 PARITY = 512
+#: 64-bit words in the bitmap of wanted texts: its size doesn't grow, and what it lets through is joined exactly.
+BITMAP = 1 << 18
 #: Entries of a list that one tile holds of either side, and pairs that one step of a tile holds.
 TILE, PAIRS = 4096, 1 << 20
 # odd multipliers, from the fractional digits of square roots
@@ -283,8 +285,12 @@ def shingled(docs: DataFrame, wanted: DataFrame, words: int, into: list[str]) ->
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), words)], pa.binary())], ["node", "shingles"])
 
+    word, bit = F.expr(f"pmod(k1, {64 * BITMAP}L) div 64"), F.expr("shiftleft(1L, cast(pmod(k1, 64) AS INT))")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))  # BITMAP rows at most
     place = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
-    found = docs.select(place, "text", *keys()).join(wanted.select("node", place, "k1", "k2"), ["at", "k1", "k2"])
+    # most texts are not wanted, and stop here before any of them is shuffled
+    able = docs.select(place, "text", *keys()).withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("mask").bitwiseAND(bit) != 0)
+    found = able.select("at", "text", "k1", "k2").join(wanted.select("node", place, "k1", "k2"), ["at", "k1", "k2"])
     return written(found.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingles", into)
 
 
