@@ -16,11 +16,18 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERIES = 10_000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """0 where either is zero. norms: the product of both norms where it is known."""
+    norms = norm(a) * norm(b) if norms is None else norms
+    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
 def small(queries: DataFrame) -> DataFrame:
@@ -37,11 +44,13 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     become a quarter of the mean weight."""
     words = chunks.select("chunk_id", tokens(F.col("content")).alias("w"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    tf = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    terms = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    # the mean weight is over all terms, of which counts alone are shuffled; places of terms only for those of queries
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    tf = found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     raw = df.crossJoin(F.broadcast(totals)).select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # totals: one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    terms = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     weights = raw.join(small(terms), "term").crossJoin(F.broadcast(mean)).select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     scored = tf.join(weights, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -53,12 +62,19 @@ def ranked(scores: DataFrame, by: str, name: str) -> DataFrame:
     return scores.withColumn(name, F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), "chunk_id")) - 1)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """The `pool` best chunks of each query. chunks(chunk_id, content, vector), queries(qid, terms, qvector)."""
-    dense = chunks.select("chunk_id", "vector").crossJoin(small(queries.select("qid", "qvector"))).select("qid", "chunk_id", F.round(cosine(F.col("vector"), F.col("qvector")), 9).alias("dense"))
+def placed(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Both scores and ranks of every chunk for each query. chunks(chunk_id, content, vector), queries(qid, terms, qvector)."""
+    vectors = chunks.select("chunk_id", "vector", norm(F.col("vector")).alias("norm"))
+    asked = small(queries.select("qid", "qvector", norm(F.col("qvector")).alias("qnorm")))
+    score = cosine(F.col("vector"), F.col("qvector"), F.col("norm") * F.col("qnorm"))
+    dense = vectors.crossJoin(asked).select("qid", "chunk_id", F.round(score, 9).alias("dense"))
     both = dense.join(bm25(chunks, queries), ["qid", "chunk_id"], "left").fillna(0.0, ["sparse"])
-    placed = ranked(ranked(both, "dense", "dense_rank"), "sparse", "sparse_rank")
-    fused = placed.withColumn("rrf", F.round(1.0 / (RRF + 1 + F.col("dense_rank")) + 1.0 / (RRF + 1 + F.col("sparse_rank")), 9))
+    return ranked(ranked(both, "dense", "dense_rank"), "sparse", "sparse_rank")
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
+    """The `pool` best chunks of each query by both ranks; inputs as in `placed`."""
+    fused = placed(chunks, queries).withColumn("rrf", F.round(1.0 / (RRF + 1 + F.col("dense_rank")) + 1.0 / (RRF + 1 + F.col("sparse_rank")), 9))
     best = Window.partitionBy("qid").orderBy(F.desc("rrf"), "chunk_id")
     return fused.withColumn("chunk_num", F.row_number().over(best)).filter(F.col("chunk_num") <= pool)
 

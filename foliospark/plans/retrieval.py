@@ -89,7 +89,8 @@ m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY variant, chunk_num)
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
     """Two variants of each query: nearest vectors, and best terms."""
-    all_ = retrieval.hybrid(with_vectors(spark, d), asked(spark, d), 1 << 30).join(chunks(spark, d).select("chunk_id", "content", "page_num"), "chunk_id")
+    best = retrieval.placed(with_vectors(spark, d), asked(spark, d)).filter(F.least("dense_rank", "sparse_rank") < 10)
+    all_ = best.join(chunks(spark, d).select("chunk_id", "content", "page_num"), "chunk_id")
     one = lambda n, c: all_.filter(F.col(c) < 10).select("qid", F.lit(n).alias("variant"), (F.col(c) + 1).alias("chunk_num"), "chunk_id", "content", "page_num")
     return one(0, "dense_rank").unionByName(one(1, "sparse_rank"))
 
