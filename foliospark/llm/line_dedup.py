@@ -73,10 +73,12 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id (a null one as the smallest number), row and drops: the places of the lines that a document loses, for
     documents that lose any, written. A template is named by its leaf and its first line's hash, a document by its doc_id
     and a hash."""
+    lines: list[str] = []
     mine: list[str] = []
-    keys = written(keyed(docs, id_col, text_col), "lines", mine)
-    templates = keys.select("row", "doc_id", "pos", "leaf", "m").join(merged(keys, mine), ["leaf", "m"], "left").select("row", "doc_id", "pos", "leaf", F.coalesce("g", "m").alias("g"))
+    keys = written(keyed(docs, id_col, text_col), "lines", lines)
+    templates = keys.select("row", "doc_id", "pos", "leaf", "m").join(merged(keys, lines), ["leaf", "m"], "left").select("row", "doc_id", "pos", "leaf", F.coalesce("g", "m").alias("g"))
     templates = written(templates, "templates", mine)
+    forget_all(docs.sparkSession, lines)
     common = templates.groupBy("leaf", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("leaf", "g", "first")
     common = written(common, "common", mine)
     drops = templates.join(common, ["leaf", "g"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
