@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.strings import prompt_hash
+from foliospark.functions.strings import prompt_hash, stripped
 
 ATTEMPTS, FIRST_WAIT = 3, 2.0
 RESULT_KEYS = ["summary", "findings", "data", "extra"]
@@ -86,3 +86,13 @@ def staged(spark: SparkSession, start: DataFrame, stages: list[tuple[str, Callab
             stage(df).write.mode("overwrite").parquet(path)
         df = spark.read.parquet(path)
     return df
+
+
+def answer_json(text: Column) -> Column:
+    """json (a variant) of a model's answer, with or without a fence around it; raw holds what couldn't be parsed, else
+    null. What follows a closing fence doesn't count."""
+    whole = stripped(text)
+    inside = F.regexp_replace(F.get(F.split(whole, "```"), F.lit(1)), "^json", "")
+    body = F.when(whole.startswith("```"), inside).otherwise(whole)
+    json = F.try_parse_json(stripped(body))
+    return F.struct(json.alias("json"), F.when(json.isNull(), body).alias("raw"))

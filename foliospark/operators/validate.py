@@ -61,6 +61,33 @@ def colour(label: Column) -> Column:
     return F.when(label == "FOUND", "green").when(label == "LOW_CONFIDENCE", "orange").when(label == "NOT_FOUND", "red").otherwise("gray")
 
 
+def nested_confidence(items: Column, fields: list[str]) -> Column:
+    """Score of a list of structs: the share of their values (texts) that are neither null nor empty; 0 without any.
+    Two digits, ties to the even one."""
+    filled = lambda i: reduce(lambda a, b: a + b, [F.when(i[f] != "", 1).otherwise(0) for f in fields])
+    n = F.aggregate(items, F.lit(0), lambda a, i: a + filled(i))
+    return F.when(F.size(items) > 0, F.bround(n / (F.size(items) * len(fields)), 2)).otherwise(0.0)
+
+
+def scored_fields(texts: dict[str, Column], nested: dict[str, Column]) -> Column:
+    """array of field, field_type, confidence, status, colour: texts by their own score, nested values by the score given."""
+
+    def entry(name: str, score: Column) -> Column:
+        label = status(score)
+        return F.struct(F.lit(name).alias("field"), field_type(F.lit(name)).alias("field_type"), score.alias("confidence"), label.alias("status"), colour(label).alias("colour"))
+
+    scores = [(name, confidence(value, field_type(F.lit(name)))) for name, value in texts.items()] + list(nested.items())
+    return F.array(*(entry(name, score) for name, score in scores))
+
+
+def overall(fields: Column) -> list[Column]:
+    """Of an array of scored fields: the mean score, its status, and how many were found."""
+    n = F.size(fields)
+    mean = F.when(n > 0, F.bround(F.aggregate(fields, F.lit(0.0), lambda a, f: a + f["confidence"]) / n, 2)).otherwise(0.0)
+    found = F.size(F.filter(fields, lambda f: f["status"] == "FOUND"))
+    return [mean.alias("overall_confidence"), status(mean).alias("overall_status"), found.cast("long").alias("found_count"), n.alias("total_count")]
+
+
 def result(field: str, code: str, state: Column, severity: str = "ERROR", blocking: bool = True) -> Column:
     """One result; a null state means that the rule doesn't apply, and is dropped by `rules`."""
     failed = state == "FAIL"
