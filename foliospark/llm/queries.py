@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, secret_scan, sharding, toxicity
-from foliospark.llm.common import table
+from foliospark.llm import bpe, embedding_dedup, infill, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding, toxicity, variants
+from foliospark.llm.common import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -63,9 +63,24 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transform(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = written(mixing.sized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "sizes")  # numbers without texts
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op7_ngram_join, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_secret_scan, op5_embedding_dedup, op6_pii, op7_ngram_join, op8_quality_rules, op9_best_fit_packing, op10_minimax_sharding, op11_variant_grouping, op12_fill_in_middle, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fill_in_middle": infill.SQL, "op13_source_mixing": mixing.SQL}
