@@ -3,10 +3,12 @@
 Filter directions are all pairs of codewords of two half-space codes. A vector is list-decoded to all directions whose
 inner product reaches its own cap, which is set so that `hits` directions do: the codewords of either half are sorted by
 their products, and only the staircase of leading pairs can hold the best sums, so no vector is ever held against all
-directions. Two vectors of high cosine share some direction almost surely (`hits` gives the measured misses); vectors meet
-on label and direction and are verified there in double precision. A pair counts in the smallest direction that it
-shares. Equal vectors are one vector with a multiplicity. Large buckets are verified in tiles, each a task's work; no pair
-leaves a task, only counts of links and one link to the smallest vector of each tile's component."""
+directions. Two vectors of high cosine share some direction almost surely (`hits` gives the measured misses). A vector travels once
+for each first codeword among its directions, with its second codewords there: vectors meet on label and first codeword,
+and within such a bucket only those of one second codeword are held against each other, in double precision. A pair counts
+in the smallest direction that it shares; directions of vectors with a near one are decoded again where that is asked.
+Equal vectors are one vector with a multiplicity. Large buckets are verified in tiles, each a task's work; no pair leaves a
+task, only counts of links and one link to the smallest vector of each tile's component."""
 
 from __future__ import annotations
 
@@ -22,12 +24,14 @@ from foliospark.llm.common import forget_all, partitions, written
 from foliospark.llm.components import components, smallest
 
 COSINE = 0.93
-#: Rows of a bucket that one tile holds of either side.
-TILE = 1024
+#: Rows of a bucket, and bytes of their vectors, that one tile holds of either side; rows held against as many at once.
+TILE, TILE_BYTES, BLOCK = 1 << 15, 16 << 20, 1024
+#: Directions that are looked at once for pairs that share some.
+COLUMNS = 4096
 #: Directions grow with the vectors so that a bucket has about this many by chance.
 BY_CHANCE = 64
 SEED = 20
-CAPS = "cls long, label long, n long, x binary, filter long, all binary"
+CAPS = "cls long, label long, n long, x binary, first int, seconds binary"
 
 
 def codewords(dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +79,8 @@ def list_decoded(u: np.ndarray, codes: tuple[np.ndarray, np.ndarray], most: int)
 def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """vec_id, label, x: x is null unless the vector can link."""
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
-    norm = F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b)
-    # a null or non-finite component makes the norm null, NaN or infinite
-    able = F.col(label_col).isNotNull() & norm.isNotNull() & ~F.isnan(norm) & (norm > 0) & (norm < float("inf"))
+    largest = F.array_max(F.transform(x, lambda v: F.abs(v)))  # NaN is the largest of all
+    able = F.col(label_col).isNotNull() & ~F.exists(x, lambda v: v.isNull()) & ~F.isnan(largest) & (largest > 0) & (largest < float("inf"))
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(able, x).alias("x"))
 
 
@@ -85,10 +88,47 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(len(column), -1)
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. They are brought to a size near 1 by a power of two first, so that no square is lost."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sharing(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, below: int) -> np.ndarray:
+    """For each pair of left and right, places in lists, whether they share a number below that one."""
+    found = np.zeros((len(left), len(right)), bool)
+    owner, value = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    owner, value = owner[value < below], value[value < below]
+    _, column, n = np.unique(value, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(n > 1)
+    rank = np.cumsum(n > 1) - 1
+    keep = n[column] > 1
+    owner, column = owner[keep], rank[column[keep]]
+    for s in range(0, len(twice), COLUMNS):
+        mine = (column >= s) & (column < s + COLUMNS)
+        mark = np.zeros((len(lists), min(COLUMNS, len(twice) - s)), np.float32)
+        mark[owner[mine], column[mine] - s] = 1
+        found |= mark[left] @ mark[right].T > 0
+    return found
+
+
+def met(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places with one number in both sorted arrays, in blocks; of one array alone each pair of blocks once."""
+    own = first if second is None else second
+    values = np.unique(first)
+    starts, ends, to, until = (np.searchsorted(x, values, side) for x, side in ((first, "left"), (first, "right"), (own, "left"), (own, "right")))
+    busy = np.flatnonzero((ends - starts > 1) if second is None else until > to)
+    for s, e, t, u in zip(starts[busy].tolist(), ends[busy].tolist(), to[busy].tolist(), until[busy].tolist(), strict=True):
+        for i in range(s, e, BLOCK):
+            for j in range(i if second is None else t, u, BLOCK):
+                yield np.arange(i, min(e, i + BLOCK)), np.arange(j, min(u, j + BLOCK))
+
+
 def links(classes: DataFrame, dim: int, size: int, cosine: float, kind: str = "f8") -> DataFrame:
     """cls, n_links (by multiplicity) and root, one row for each class and tile where it has a link."""
     codes = codewords(dim, size)
     most = hits(size)
+    tile = max(1, min(TILE, TILE_BYTES // (8 * dim)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 22) // (size + most * 8))
@@ -96,49 +136,62 @@ def links(classes: DataFrame, dim: int, size: int, cosine: float, kind: str = "f
             for i in range(0, big.num_rows, step):
                 b = big.slice(i, step)
                 x = np.array(b.column("x").flatten()).reshape(b.num_rows, dim)
-                u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                row, f = list_decoded(u, codes, most)
-                n = np.bincount(row, minlength=len(u))
-                every = np.split(f.astype("<i8"), np.cumsum(n)[:-1])
-                packed = pa.array([e.tobytes() for e in every], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("label").take(take), b.column("n").take(take), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()).take(take), pa.array(f), packed.take(take)], ["cls", "label", "n", "x", "filter", "all"])
+                row, f = list_decoded(directions(x).astype(np.float32), codes, most)
+                first, second = f // size, (f % size).astype("<i4")
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1])]))
+                take = pa.array(row[new])
+                seconds = pa.array([part.tobytes() for part in np.split(second, new[1:])], pa.binary())
+                vector = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()).take(take)
+                yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("label").take(take), b.column("n").take(take), vector, pa.array(first[new].astype(np.int32)), seconds], ["cls", "label", "n", "x", "first", "seconds"])
 
     caps = classes.mapInArrow(decode, CAPS)
-    sizes = caps.groupBy("label", "filter").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("tiles", F.ceil(F.col("rows") / TILE))
-    met = caps.join(sizes, ["label", "filter"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")))
-    tiled = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("cls", "n", "x", "all", "label", "filter", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own"))
-    keys = ["label", "filter", "a", "b"]
+    sizes = caps.groupBy("label", "first").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("tiles", F.ceil(F.col("rows") / tile))
+    own = caps.join(sizes, ["label", "first"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")))
+    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("cls", "n", "x", "seconds", "label", "first", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own"))
+    keys = ["label", "first", "a", "b"]
     dealt = tiled.repartition(partitions(classes.sparkSession), *keys).sortWithinPartitions(*keys, "cls")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, keys):
             own, cls, n = (t.column(c).to_numpy() for c in ("own", "cls", "n"))
-            a, b, f = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("filter")[0].as_py()
-            left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            x = _matrix(t.column("x").combine_chunks(), kind)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            near = x[left] @ x[right].T >= cosine
-            if a == b:
-                np.fill_diagonal(near, False)
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            nodes, root = smallest(cls[left[i]], cls[right[j]])
-            # pairs that share a smaller direction count there
-            every = [np.frombuffer(y, "<i8") for y in t.column("all").to_pylist()]
-            busy = np.unique(np.concatenate([left[i], right[j]]))
-            small = [every[k][every[k] < f] for k in busy]
-            cols, flat = np.unique(np.concatenate([*small, np.zeros(0, np.int64)]), return_inverse=True)
-            mark = np.zeros((len(every), len(cols)), np.float32)
-            mark[np.repeat(busy, [len(s) for s in small]), flat] = 1
-            fresh = near & (mark[left] @ mark[right].T == 0)
-            count = np.zeros(len(cls), np.int64)
-            count[left] += fresh @ n[right]
-            if a != b:
-                count[right] += n[left] @ fresh
-            count_of = dict(zip(cls.tolist(), count.tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([count_of[c] for c in nodes.tolist()], pa.int64()), pa.array(root)], ["cls", "n_links", "root"])
+            a, b, first = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("first")[0].as_py()
+            x = directions(_matrix(t.column("x").combine_chunks(), kind))
+            lists = [np.frombuffer(y, "<i4") for y in t.column("seconds").to_pylist()]
+            row, second = np.repeat(np.arange(len(lists)), [len(y) for y in lists]), np.concatenate(lists)
+            sort = np.argsort(second, kind="stable")
+            row, second = row[sort], second[sort]
+            sides = [own[row] == a, None if a == b else own[row] == b]
+            left, right = (None if s is None else (row[s], second[s]) for s in sides)
+            count, joined, decoded = np.zeros(len(cls), np.int64), [], {}
+            for p, q in met(left[1], None if right is None else right[1]):
+                f = first * size + int(left[1][p[0]])
+                same = right is None and p[0] == q[0]
+                p, q = left[0][p], (left if right is None else right)[0][q]
+                near = x[p] @ x[q].T >= cosine
+                if same:
+                    np.fill_diagonal(near, False)
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                joined.append(smallest(cls[p[i]], cls[q[j]]))
+                # pairs that share a smaller direction count there
+                u, v = np.unique(i), np.unique(j)
+                busy = np.unique(np.concatenate([p[u], q[v]]))
+                if missing := [k for k in busy.tolist() if k not in decoded]:
+                    for lo in range(0, len(missing), BLOCK):
+                        part = missing[lo : lo + BLOCK]
+                        r, g = list_decoded(x[part].astype(np.float32), codes, most)
+                        decoded.update(zip(part, np.split(g, np.flatnonzero(np.diff(r)) + 1), strict=True))
+                shared = sharing([decoded[k] for k in busy.tolist()], np.searchsorted(busy, p[u]), np.searchsorted(busy, q[v]), f)
+                fresh = near[np.ix_(u, v)] & ~shared
+                count[p[u]] += fresh @ n[q[v]]
+                if not same:
+                    count[q[v]] += n[p[u]] @ fresh
+            if joined:
+                nodes, root = smallest(*(np.concatenate([x[k] for x in joined]) for k in (0, 1)))
+                at = np.argsort(cls)
+                counts = count[at[np.searchsorted(cls, nodes, sorter=at)]]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts), pa.array(root)], ["cls", "n_links", "root"])
 
     return dealt.mapInArrow(verify, "cls long, n_links long, root long")
 

@@ -95,7 +95,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     """doc_id of good documents, all or about `most` of them."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     share = min(1.0, most / max(1, good.count()))
-    return good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < int(share * (1 << 50)))
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:

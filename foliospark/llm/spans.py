@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,8 +30,10 @@ def ordered(spans: Iterable[Span], kinds: list[str]) -> list[Span]:
 
 
 def outside(spans: Iterable[Span], base: list[Span]) -> list[Span]:
-    """Those that no base span covers."""
-    return [s for s in spans if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    """Those that no base span covers: of the base spans that start no later, the furthest end tells."""
+    by_start = sorted((b.start, b.end) for b in base)
+    starts, reach = [s for s, _ in by_start], [-1, *accumulate((e for _, e in by_start), max)]
+    return [s for s in spans if reach[bisect_right(starts, s.start)] < s.end]
 
 
 def spelled(spans: list[Span]) -> str:
@@ -55,7 +59,8 @@ Detector = Callable[[pa.Array], list[tuple[list[Span], list[Span]]]]
 
 
 def digest(docs: DataFrame, detect: Callable[[], Detector], base: list[str], kinds: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Counts by base kind, the digest of the base spans, and all spans."""
+    """Counts by base kind, the digest of the base spans, and all spans. Null and empty texts have none, rows that repeat
+    are read each, an empty table gives no rows, and other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = detect()
@@ -70,7 +75,7 @@ def digest(docs: DataFrame, detect: Callable[[], Detector], base: list[str], kin
 
 
 def listed(docs: DataFrame, detect: Callable[[], Detector], kinds: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The spans themselves, base and added."""
+    """The spans themselves, base and added; nulls, empty and repeated rows as in `digest`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = detect()

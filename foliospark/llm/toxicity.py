@@ -56,7 +56,8 @@ def word_features(word: str) -> list[int]:
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is never learnt from; one without an id is held out."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def dictionary(array: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -85,13 +85,13 @@ def light(known: DataFrame) -> DataFrame:
     return steps.join(branches, ["node", "x"]).select("id", "depth", "c").join(known, "id").select("word", "n", "depth", character(F.col("c")).alias("c"))
 
 
-def neighbours(known: DataFrame) -> DataFrame:
+def neighbours(known: DataFrame, into: list[str] | None = None) -> DataFrame:
     """word, n_near, near_n, near: how many words of known(id, word, n) are one edit away, and which one of them is the most
-    frequent, the smallest of equals; words without any are left out. Words and ids are distinct."""
+    frequent, the smallest of equals; words without any are left out. Words and ids are distinct. `into` as by `written`."""
     word, depth = F.col("word"), F.col("depth")
     head, tail, rest, first = F.substr(word, F.lit(1), depth), F.substr(word, depth + 1), F.substr(word, depth + 2), F.substr(word, depth + 1, F.lit(1))
     inside = depth < F.length(word)
-    edges = light(known).select("word", "n", head.alias("head"), "c", rest.alias("rest"), tail.alias("tail"), first.alias("first"), inside.alias("inside"))
+    edges = written(light(known), "light", into).select("word", "n", head.alias("head"), "c", rest.alias("rest"), tail.alias("tail"), first.alias("first"), inside.alias("inside"))
     replaced = F.when(F.col("inside"), F.concat("head", "c", "rest"))
     # a run of one letter is left at its end: else its pair would be found at each letter
     skipped = F.when(F.col("inside") & (F.substr("rest", F.lit(1), F.lit(1)) != F.col("first")), F.concat("head", "rest"))
@@ -126,7 +126,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
     table gives no rows; other columns are not read."""
     spark, scratch = docs.sparkSession, []
     known = written(words(docs, id_col, text_col).withColumn("id", F.monotonically_increasing_id()), "words", scratch)
-    near = written(neighbours(known), "near", scratch)
+    near = written(neighbours(known, scratch), "near", scratch)
     kept = F.col("near_n") >= times * F.col("n")
     every = known.select("word", "n").join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(kept, F.col("near")).alias("form"), F.when(kept, F.col("near_n")).alias("form_n"))
     every = written(every, "forms", scratch)

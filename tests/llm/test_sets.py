@@ -482,3 +482,36 @@ def test_pipeline_equals_plain_stages(spark):
     pieces = c.run(spark, folder).collect()
     check_packing(pieces)
     assert {r["doc_id"] for r in pieces} == set(masked)
+
+
+def test_embedding_magnitudes_of_all_doubles(spark):
+    rows = [[1e200, 1e200], [1e200, 1.01e200], [1e-200, 1.02e-200], [5e-324, 5e-324], [1e308, -1e308], [-1e-300, 1e-300], [1e200, 0.0], [float("inf"), 1.0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_embedding_links_at_the_threshold(spark):
+    """cos = 0.93 to the last digit that both sides round alike, and one step below."""
+    v = [[1.0, 0.0], [0.93, float(np.sqrt(1 - 0.93**2))], [0.9299, float(np.sqrt(1 - 0.9299**2))]]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = [np.array(x) / np.linalg.norm(x) for x in v]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(df, cosine=float(u[0] @ u[1])).collect()}
+    assert got == {0: 1, 1: 2, 2: 1}
+    assert {r["n_links"] for r in embedding_dedup.dedup(df, cosine=float(u[0] @ u[1]) + 1e-12).filter("vec_id = 0").collect()} == {0}
+
+
+def test_embedding_counts_across_tiles_and_blocks(spark, monkeypatch):
+    """Pairs share many directions, lie in several tiles and blocks, and count once each."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 60)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "COLUMNS", 8)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 16))
+    x = np.repeat(base, 40, 0) + rng.normal(size=(240, 16)) * 0.22
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(df).collect()}
+    assert got == dict(enumerate((near.sum(1) - 1).tolist()))
+    assert 0 < near.sum() - 240 < 6 * 40 * 39

@@ -155,6 +155,30 @@ def test_secret_literals_of_any_length():
         assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("kind", ["secrets", "personal data"])
+def test_detectors_take_time_in_proportion(kind):
+    if kind == "secrets":
+        find, line = secret_scan.detector(), 'password = abcdef{0}\nprivate_key_{0} = "k9Jx82hQpLm{0}"\n'
+    else:
+        find, line = pii.detector(), "Write to a{0}@b.org please.\nMy name is John Smith and I live at 12 Oak Street.\n"
+    took = {}
+    for n in (2_000, 50_000):
+        text = pa.array(["".join(line.format(i) for i in range(n))])
+        began = time.process_time()
+        base, added = find(text)[0]
+        took[n] = time.process_time() - began
+        assert len(base) >= n and len(added) >= n
+    assert took[50_000] < 60 * max(took[2_000], 0.05)
+
+
+def test_added_spans_are_those_that_no_base_span_covers():
+    rnd = random.Random(3)
+    some = lambda k: [spans.Span("x", a, a + rnd.randint(0, 12)) for a in (rnd.randint(0, 60) for _ in range(k))]
+    for _ in range(300):
+        added, base = some(8), some(rnd.randint(0, 6))
+        assert spans.outside(added, base) == [s for s in added if not any(b.start <= s.start and s.end <= b.end for b in base)]
+
+
 def test_secret_queries(odd, empty):
     rows = {r["doc_id"]: r for r in secret_scan.scan(odd).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
