@@ -188,6 +188,42 @@ def test_line_dedup_all_templates_of_a_leaf(spark):
     assert [rows[i] for i in range(90)] == want
 
 
+def plain_first_lines(lines):
+    """For lines(at, m, words) of one leaf the m of its first line, by a plain fold."""
+    heads, of = [], {}
+    for _, m, t in sorted(lines, key=lambda x: x[:2]):
+        of[m] = next((h for h, u in heads if 5 * sum(a == b for a, b in zip(t, u)) >= 4 * len(t)), m)
+        if of[m] == m:
+            heads.append((m, t))
+    return of
+
+
+@pytest.mark.parametrize("n, letters, most", [(5, 14, 8), (6, 6, 1), (7, 3, 2), (9, 2, 8), (10, 2, 1), (12, 2, 2), (14, 3, 8), (17, 2, 1), (26, 2, 3)])
+def test_line_dedup_by_blocks_equals_fold(spark, monkeypatch, n, letters, most):
+    """Many lines of one leaf in all degrees of likeness, at any number of lines that a round sees of a block."""
+    monkeypatch.setattr(line_dedup, "FOLD", most)
+    monkeypatch.setattr(line_dedup, "MOST", 2 * most)
+    rnd = random.Random(n)
+    seeds = [[rnd.randrange(letters) for _ in range(n - 3)] for _ in range(12)]
+    words = {(7, 7, 7, *(rnd.randrange(letters) if rnd.random() < 0.2 else w for w in rnd.choice(seeds))) for _ in range(160)}
+    lines = [(rnd.randrange(40), m, list(t)) for m, t in enumerate(sorted(words))]
+    rest = spark.createDataFrame([(1, m, at, t) for at, m, t in lines], "leaf long, m long, at long, t array<long>")
+    got = {r["m"]: r["g"] for r in line_dedup.by_blocks(rest, []).collect()}
+    want = plain_first_lines(lines)
+    assert got == {m: g for m, g in want.items() if m != g}
+    assert len(lines) > 20 and got
+
+
+def test_line_dedup_of_one_hot_leaf(spark):
+    """Thousands of lines with nothing in common but their leading words, and a few pairs among them."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(9000)]
+    lines = ["one two three " + " ".join(rnd.choice(words) for _ in range(9)) for _ in range(3000)]
+    lines += [x.rsplit(" ", 1)[0] + " other" for x in lines[::300]]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, lines)).collect()}
+    assert [rows[i] for i in range(len(lines))] == [*lines[:3000], *[""] * 10]
+
+
 def test_line_dedup_of_short_lines(spark):
     lines = ["All rights reserved.", "Read more", "page 3 of 4", "one two three four five", "share this with your friends", "a b c d e f g h i"]
     again = ["All rights reserved.", "Read more", "page 5 of 6", "one two three four six", "share this with our enemies", "a b c d e f g h j"]
