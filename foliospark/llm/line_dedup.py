@@ -39,12 +39,15 @@ def fields(line: Column, w: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (which document), doc_id, pos, leaf, m (the masked line), t (hashes of its words) of lines that may recur."""
+    """row (which document), doc_id, pos, leaf, m (the masked line), t (hashes of its words) of lines that may recur.
+
+    Words have 32 bits: a line is lost by that only if it is one position short of agreeing with a first line, and two words
+    at an uneven position collide, which is to be expected for some ten of 10^12 lines."""
     row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     lines = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     words = lines.select("row", "doc_id", "pos", "line", line_words(F.col("line")).alias("w")).filter(F.size("w") >= WORDS)
     shown = words.select("row", "doc_id", "pos", fields(F.col("line"), F.col("w")).alias("w"))
-    return shown.select("row", "doc_id", "pos", F.xxhash64(F.size("w"), F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("w").alias("m"), F.when(F.size("w") >= VARIABLE, F.transform("w", lambda x: F.xxhash64(x))).alias("t"))
+    return shown.select("row", "doc_id", "pos", F.xxhash64(F.size("w"), F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("w").alias("m"), F.when(F.size("w") >= VARIABLE, F.transform("w", lambda x: F.hash(x))).alias("t"))
 
 
 def agree(x: Column, y: Column) -> Column:
