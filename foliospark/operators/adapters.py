@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.strings import prompt_hash, stripped
+from foliospark.session import written
 
 ATTEMPTS, FIRST_WAIT = 3, 2.0
 RESULT_KEYS = ["summary", "findings", "data", "extra"]
@@ -40,32 +42,44 @@ def hashed_vector(text: str, size: int = 64) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
-def answered(prompts: DataFrame, provider: Provider, attempts: int = ATTEMPTS) -> DataFrame:
-    """key, answer, error: a batch that fails is tried again; what still fails becomes an error and no exception.
-    prompts(key, prompt)."""
+def rate_limited(error: Exception) -> bool:
+    """Whether a provider says that it was asked too often; nothing else is worth a second try."""
+    said = str(error).lower()
+    return "rate limit" in said or "429" in said
+
+
+def answered(prompts: DataFrame, provider: Provider, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT) -> DataFrame:
+    """key, answer, error: a batch that is refused for its rate is tried again, after a wait that doubles; what fails for
+    another reason, or still fails, becomes an error and no exception. prompts(key, prompt)."""
 
     def run(batches: Iterator) -> Iterator:  # noqa: ANN401
         import pandas as pd
 
         for b in batches:
-            error = None
-            for _ in range(attempts):
+            for turn in range(attempts):
                 try:
                     out, error = provider.answer(list(b["prompt"])), None
                     break
                 except Exception as e:  # noqa: BLE001 - whatever a provider raises is its rows' error
                     out, error = [None] * len(b), str(e)
+                    if not rate_limited(e) or turn == attempts - 1:
+                        break
+                    time.sleep(wait * 2**turn)
             yield pd.DataFrame({"key": b["key"], "answer": out, "error": [error] * len(b)})
 
     return prompts.select("key", "prompt").mapInPandas(run, "key string, answer string, error string")
 
 
-def through_cache(calls: DataFrame, cache: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
-    """Answers of calls(id, user, model, system, text), with hit; and the new rows of the cache(key, answer)."""
-    keyed = calls.withColumn("key", prompt_hash(F.col("user"), F.col("model"), F.col("system"), F.col("text")))
+def through_cache(calls: DataFrame, cache: DataFrame, provider: Provider, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Answers of calls(id, user, model, system, text), with hit; and the new rows of the cache(key, answer).
+
+    name is the provider's, and part of the key: answers of one are none of another's. Each missing prompt goes to the
+    provider once, however often it is asked and whatever is read of the results: its answers are a table."""
+    parts = [F.col("user"), *([F.lit(name)] if name else []), F.col("model"), F.col("system"), F.col("text")]
+    keyed = calls.withColumn("key", prompt_hash(*parts))
     known = cache.select("key", "answer")
     missing = keyed.join(known, "key", "left_anti").groupBy("key").agg(F.min("text").alias("prompt"))
-    fresh = answered(missing, provider)
+    fresh = written(answered(missing, provider), "answers")
     every = known.withColumn("hit", F.lit(True)).unionByName(fresh.select("key", "answer", F.lit(False).alias("hit")))
     return keyed.join(every, "key", "left").select("id", "key", "answer", "hit"), fresh.filter("error is null").select("key", "answer")
 

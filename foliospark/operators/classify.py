@@ -52,9 +52,10 @@ def signal_scores(docs: DataFrame) -> DataFrame:
 
 
 def decided(keyword: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
-    """doc_id, doc_type, confidence: both scores by halves, the lead of the best over the second; general without lead."""
+    """doc_id, doc_type, confidence: both scores by halves, the lead of the best over the second; general without lead. A
+    score that is missing counts 0, as all of one kind do where there is no table of them."""
     both = keyword.withColumnRenamed("score", "k")
-    both = both.join(embedding.withColumnRenamed("score", "e"), ["doc_id", "doc_type"], "full") if embedding is not None else both.withColumn("e", F.col("k"))
+    both = both.join(embedding.withColumnRenamed("score", "e"), ["doc_id", "doc_type"], "full") if embedding is not None else both.withColumn("e", F.lit(0.0))
     total = both.select("doc_id", "doc_type", (0.5 * F.coalesce("k", F.lit(0.0)) + 0.5 * F.coalesce("e", F.lit(0.0))).alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "doc_type")
     best = total.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter("n = 1")

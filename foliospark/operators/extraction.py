@@ -25,10 +25,18 @@ def batch_result(status: Column) -> list[Column]:
     return [F.count("*").alias("total"), F.count_if(status == "done").alias("succeeded"), F.count_if(status == "failed").alias("failed")]
 
 
+def is_empty(df: DataFrame, name: str) -> Column:
+    """Null, an empty text, or an empty list; a number, a map and a record are never empty otherwise."""
+    kind, value = dict(df.dtypes)[name], F.col(name)
+    if kind.startswith("array"):
+        return value.isNull() | (F.size(value) == 0)
+    return value.isNull() | (value == "") if kind == "string" else value.isNull()
+
+
 def empty_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, field, rule_code, status of every field that came back empty: a warning that blocks nothing."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
-    return df.select(key, F.explode(pairs).alias("x")).filter(~F.coalesce(has_value(F.col("x.value")), F.lit(False))).select(key, "x.field", F.lit("GENERIC_002").alias("rule_code"), F.lit("WARNING").alias("status"))
+    names = F.filter(F.array(*(F.when(is_empty(df, f), F.lit(f)) for f in fields)), lambda f: f.isNotNull())
+    return df.select(key, F.explode(names).alias("field")).select(key, "field", F.lit("GENERIC_002").alias("rule_code"), F.lit("WARNING").alias("status"))
 
 
 def duration_mismatches(df: DataFrame, key: str, items: str) -> DataFrame:

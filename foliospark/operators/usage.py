@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +56,42 @@ def status(used: Column, limit: Column) -> Column:
     return F.struct(used.alias("used"), limit.alias("quota_limit"), (used >= limit).alias("exceeded"), F.when(limit > 0, F.round(used / limit * 100, 1)).otherwise(0.0).alias("pct_used"))
 
 
-def cached_calls(calls: DataFrame, key: str, ttl_seconds: int | None = None) -> DataFrame:
-    """hit: an earlier call of the key answers; with a time to live, the last one within it that was made in turn."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    if ttl_seconds is None:
-        return calls.withColumn("hit", F.row_number().over(w) > 1)
-    return calls.withColumn("hit", F.coalesce(F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(w) <= ttl_seconds, F.lit(False)))
+def cached_calls(calls: DataFrame, key: str) -> DataFrame:
+    """hit: an earlier call of the key answers."""
+    return calls.withColumn("hit", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")) > 1)
+
+
+def expiring_calls(calls: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
+    """key, event_id, hit of calls(key, ts, event_id): an entry is set by a miss and lives for ttl_seconds from then on,
+    the last instant included; a hit doesn't renew it.
+
+    Calls of a key come sorted through one task, which holds a batch and the instant at which the entry ends, and leaps from
+    miss to miss. Calls without an instant miss and set nothing; null keys are one key."""
+    ttl = round(ttl_seconds * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ends = None, None
+        for b in batches:
+            names, at = b.column("_name"), b.column("_at").cast(pa.int64())
+            hit = np.zeros(b.num_rows, bool)
+            runs = pc.run_end_encode(names)
+            start = 0
+            for value, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if value != name:
+                    name, ends = value, None
+                part = at.slice(start, stop - start)
+                i = start + part.null_count  # nulls come first
+                times = at.slice(i, stop - i).to_numpy(zero_copy_only=False)
+                j = 0
+                while j < len(times):
+                    until = j if ends is None else int(np.searchsorted(times, ends, side="right"))
+                    hit[i + j : i + until] = True
+                    j = max(j, until)
+                    if j < len(times):
+                        ends, j = times[j] + ttl, j + 1
+                start = stop
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("event_id"), pa.array(hit)], [key, "event_id", "hit"])
+
+    dealt = calls.select(key, "event_id", F.to_json(F.struct(F.col(key))).alias("_name"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    kinds = dict(calls.select(key, "event_id").dtypes)
+    return dealt.repartition("_name").sortWithinPartitions("_name", "_at", "event_id").mapInArrow(run, f"`{key}` {kinds[key]}, event_id {kinds['event_id']}, hit boolean")

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from foliospark.plans import contexts, documents, extraction, names, policies, records, relational, retrieval, rulesets, streams, usage
+from foliospark.plans import contexts, documents, extraction, names, policies, records, relational, retrieval, rulesets, streams, usage, versions
 from foliospark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "contexts", "documents", "extraction", "names", "policies", "records", "relational", "retrieval", "rulesets", "streams", "usage"]

@@ -25,11 +25,11 @@ def batch_results(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(*extraction.batch_result(status))
 
 
-@query("SELECT o_orderkey, field, 'GENERIC_002' AS rule_code, 'WARNING' AS status FROM (SELECT o_orderkey, 'a' AS field, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS v FROM orders UNION ALL SELECT o_orderkey, 'b', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'x' END FROM orders UNION ALL SELECT o_orderkey, 'c', o_totalprice::VARCHAR FROM orders) WHERE coalesce(v, '') = ''")
+@query("SELECT o_orderkey, field, 'GENERIC_002' AS rule_code, 'WARNING' AS status FROM (SELECT o_orderkey, 'a' AS field, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS v FROM orders UNION ALL SELECT o_orderkey, 'b', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'x' END FROM orders UNION ALL SELECT o_orderkey, 'c', o_totalprice::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'lines', CASE WHEN o_orderkey % 5 > 1 THEN 'x' END FROM orders) WHERE coalesce(v, '') = ''")
 def empty_field_warnings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = load(spark, d, "orders").select("o_orderkey", F.when(k % 3 != 0, F.col("o_orderstatus")).alias("a"), F.when(k % 4 == 0, "").otherwise("x").alias("b"), F.col("o_totalprice").alias("c"))
-    return extraction.empty_fields(rows, "o_orderkey", ["a", "b", "c"])
+    rows = load(spark, d, "orders").select("o_orderkey", F.when(k % 3 != 0, F.col("o_orderstatus")).alias("a"), F.when(k % 4 == 0, "").otherwise("x").alias("b"), F.col("o_totalprice").alias("c"), F.when(k % 5 == 0, F.array().cast("array<bigint>")).when(k % 5 > 1, F.array(k)).alias("lines"))
+    return extraction.empty_fields(rows, "o_orderkey", ["a", "b", "c", "lines"])
 
 
 @query("SELECT l_orderkey, 'jobs[' || (n - 1) || ']' AS field, 'GENERIC_003' AS rule_code, 'stated ' || coalesce(s, 'nothing') || ', computed ' || l_suppkey AS actual FROM (SELECT *, CASE WHEN l_partkey % 4 <> 0 THEN l_partkey::VARCHAR END AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) WHERE l_quantity >= 10 AND l_partkey <> l_suppkey")

@@ -99,3 +99,12 @@ def cached_answers(spark: SparkSession, d: str) -> DataFrame:
     calls = once.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("user"), F.lit("m").alias("model"), F.lit("s").alias("system"), "text", "turn")
     known = calls.filter("turn % 2 = 0 and user = 'user'").select(adapters.prompt_hash(F.col("user"), F.col("model"), F.col("system"), F.col("text")).alias("key"), F.substring(F.sha2("text", 256), 1, 12).alias("answer"))
     return adapters.through_cache(calls, known, adapters.Deterministic())[0]
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS id, turn, role, text, sha256(concat_ws('|', role, 'p', 'm', 's', text)) AS key FROM conversations),
+h AS (SELECT DISTINCT key FROM c WHERE turn % 2 = 0 AND role = 'user') SELECT id, key, substring(sha256(text), 1, 12) AS answer, h.key IS NOT NULL AS hit FROM c LEFT JOIN h USING (key)""")
+def cached_turns(spark: SparkSession, d: str) -> DataFrame:
+    """All turns, those that repeat too; the cache knows what users said at even turns, by one provider."""
+    calls = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("user"), F.lit("m").alias("model"), F.lit("s").alias("system"), "text", "turn")
+    known = calls.filter("turn % 2 = 0 and user = 'user'").select(adapters.prompt_hash(F.col("user"), F.lit("p"), F.col("model"), F.col("system"), F.col("text")).alias("key"), F.substring(F.sha2("text", 256), 1, 12).alias("answer")).distinct()
+    return adapters.through_cache(calls, known, adapters.Deterministic(), "p")[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators import classify, retrieval
+from foliospark.operators import classify, fusion, places, retrieval
 from foliospark.plans.registry import query
 from foliospark.session import load
 from foliospark.sources.text import paged
@@ -59,10 +59,29 @@ def with_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT qid, chunk_id, dense, sparse, rrf, chunk_num FROM hy WHERE chunk_num <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.hybrid(with_vectors(spark, d), asked(spark, d), retrieval.TOP)
+    found = fusion.searched(with_vectors(spark, d), asked(spark, d), retrieval.TOP)
     return found.select("qid", "chunk_id", "dense", "sparse", "rrf", F.col("chunk_num").cast("long").alias("chunk_num"))
 
 
+@query(f"WITH {SCORES} SELECT qid, chunk_id, rrf, chunk_num FROM hy WHERE chunk_num <= 500")
+def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pool of 500 that a reranker would get."""
+    found = fusion.searched(with_vectors(spark, d), asked(spark, d))
+    return found.select("qid", "chunk_id", "rrf", F.col("chunk_num").cast("long").alias("chunk_num"))
+
+
+OPEN = "(SELECT c.* FROM chunks c JOIN documents d USING (doc_id) WHERE d.lang = 'en')"
+
+
+@query(f"WITH {SCORES.replace('FROM chunks c, nv', f'FROM {OPEN} c, nv').replace('FROM chunks),', f'FROM {OPEN}),')} SELECT qid, chunk_id, rrf, chunk_num FROM hy WHERE chunk_num <= 5")
+def search_in_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Search in the documents that are open, here those of one language: others count neither as results nor in the weights
+    of terms."""
+    wanted = load(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    found = fusion.searched(with_vectors(spark, d), asked(spark, d), top=retrieval.TOP, document_ids=wanted)
+    return found.select("qid", "chunk_id", "rrf", F.col("chunk_num").cast("long").alias("chunk_num"))
+
+
 @query(f"WITH {SCORES} SELECT qid, chunk_id, sparse FROM sparse")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(chunks(spark, d), asked(spark, d)).select("qid", "chunk_id", "sparse")
@@ -89,7 +108,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY variant, chunk_num)
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
     """Two variants of each query: nearest vectors, and best terms."""
-    best = retrieval.placed(with_vectors(spark, d), asked(spark, d)).filter(F.least("dense_rank", "sparse_rank") < 10)
+    best = fusion.first_of_either(with_vectors(spark, d), asked(spark, d), 10)
     all_ = best.join(chunks(spark, d).select("chunk_id", "content", "page_num"), "chunk_id")
     one = lambda n, c: all_.filter(F.col(c) < 10).select("qid", F.lit(n).alias("variant"), (F.col(c) + 1).alias("chunk_num"), "chunk_id", "content", "page_num")
     return one(0, "dense_rank").unionByName(one(1, "sparse_rank"))
@@ -103,7 +122,7 @@ def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SCORES}, c AS (SELECT qid, chunk_num, '[' || chunk_num || '] (Doc: d' || (chunk_id // 10000) || ', Page ' || page_num || '): ' || content AS line FROM hy WHERE chunk_num <= 5)
 SELECT qid, md5(string_agg(line, chr(10) || chr(10) ORDER BY chunk_num)) AS context FROM c GROUP BY qid""")
 def citation_context(spark: SparkSession, d: str) -> DataFrame:
-    best = retrieval.hybrid(with_vectors(spark, d), asked(spark, d), retrieval.TOP).select("qid", "chunk_id", "chunk_num")
+    best = fusion.searched(with_vectors(spark, d), asked(spark, d), retrieval.TOP).select("qid", "chunk_id", "chunk_num")
     hits = best.join(chunks(spark, d), "chunk_id").select("qid", "chunk_num", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("page_num").alias("page"), "content")
     return retrieval.citations(hits).withColumn("context", F.md5("context"))
 
@@ -146,7 +165,7 @@ def question_routing(spark: SparkSession, d: str) -> DataFrame:
 KINDS = " UNION ALL ".join(f"SELECT '{t}' AS doc_type, [{', '.join(chr(39) + s + chr(39) for s in x)}] AS signals" for t, x in classify.SIGNALS.items())
 CLASSIFIED = f"""kinds AS ({KINDS}), sc AS (SELECT doc_id, doc_type, round(len(list_filter(signals, lambda s: contains(lower(substring(text, 1, 500)), s))) / len(signals)::DOUBLE, 9) AS score FROM documents, kinds),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, doc_type) AS n, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, doc_type) AS second FROM sc),
-de AS (SELECT doc_id, doc_type, CASE WHEN score <= 0 THEN 0.0 ELSE round(least((score - second) / 0.3, 1.0), 3) END AS confidence FROM rk WHERE n = 1)"""
+de AS (SELECT doc_id, doc_type, CASE WHEN score <= 0 THEN 0.0 ELSE round(least((0.5 * score - 0.5 * second) / 0.3, 1.0), 3) END AS confidence FROM rk WHERE n = 1)"""
 
 
 @query(f"WITH {CLASSIFIED} SELECT doc_id, CASE WHEN confidence = 0 THEN 'general' ELSE doc_type END AS doc_type, confidence, CASE WHEN confidence >= 0.75 THEN 'stage1' ELSE 'stage2' END AS stage FROM de")
@@ -182,10 +201,23 @@ def scanned_documents(spark: SparkSession, d: str) -> DataFrame:
     return scanned(chunks(spark, d))
 
 
-@query("""WITH v AS (SELECT item_id, lower(substr(text, 1, 4)) AS v FROM benchmark WHERE item_id % 100 = 0 AND length(text) >= 4), m AS (SELECT item_id, min(instr(lower(d.text), v)) AS at_ FROM v JOIN documents d ON contains(lower(d.text), v) GROUP BY item_id)
-SELECT item_id, at_ AS "at" FROM m""")
+WANTED = r"v AS (SELECT item_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS v FROM benchmark), w AS (SELECT * FROM v WHERE length(v) >= 4)"
+
+
+def values(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("value_id"), F.col("text").alias("value"))
+
+
+@query(f"WITH {WANTED} SELECT item_id, d.doc_id, instr(lower(d.text), v) - 1 AS \"at\" FROM w JOIN documents d ON contains(lower(d.text), v)")
 def value_position(spark: SparkSession, d: str) -> DataFrame:
-    """Where a value (here the first letters of an item) stands first in any document: stated values against all documents."""
-    values = load(spark, d, "benchmark").filter((F.col("item_id") % 100 == 0) & (F.length("text") >= 4)).select("item_id", F.lower(F.substring("text", 1, 4)).alias("v"))
-    at = F.expr("instr(lower(text), v)")
-    return load(spark, d, "documents").join(retrieval.small(values), at > 0).groupBy("item_id").agg(F.min(at).alias("at"))
+    """Where each whole value stands first in each document that has it: all items against all documents."""
+    docs = load(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("").alias("bbox"))
+    return places.places(docs, values(spark, d)).select(F.col("value_id").alias("item_id"), "doc_id", "at")
+
+
+@query(f"""WITH {CHUNKS}, {WANTED}, m AS (SELECT item_id, doc_id, chunk_id, page_num, instr(lower(content), v) - 1 AS x FROM w JOIN chunks ON contains(lower(content), v) WHERE page_num % 4 <> 0)
+SELECT item_id, doc_id, min(x) AS "at", arg_min(chunk_id, (x, chunk_id)) AS chunk_id, 'page ' || arg_min(page_num, (x, chunk_id)) AS bbox FROM m GROUP BY item_id, doc_id""")
+def value_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The place on a page of each value in each document: of its chunks with a place, the one where it stands earliest."""
+    placed = chunks(spark, d).withColumn("bbox", F.when(F.col("page_num") % 4 != 0, F.concat(F.lit("page "), F.col("page_num").cast("string"))))
+    return places.places(placed, values(spark, d)).withColumnRenamed("value_id", "item_id")

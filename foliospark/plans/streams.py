@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.plans.registry import query
-from foliospark.session import load
+from foliospark.session import load, scratch
 from foliospark.streaming import usage
 
 
@@ -38,6 +38,28 @@ def stream_rate_limiter(spark: SparkSession, d: str) -> DataFrame:
     return usage.drain(usage.limiter(events(spark, d), 86_400.0))
 
 
+@query("""WITH RECURSIVE s AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.ts + INTERVAL 1 DAY GROUP BY s.user_id, s.ts)
+SELECT e.user_id, event_id, NOT (row_number() OVER (PARTITION BY e.user_id, e.ts ORDER BY event_id) = 1 AND s.ts IS NOT NULL) AS hit FROM events e LEFT JOIN (SELECT DISTINCT user_id, ts FROM s) s USING (user_id, ts)""")
+def stream_expiring_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that live for a day, by state that timers take away."""
+    return usage.drain(usage.expiring(events(spark, d), 86_400.0))
+
+
+CHANGED = "purchase"
+
+
+@query(f"""WITH e AS (SELECT *, user_id || '|' || event_type AS key, user_id AS document FROM events),
+g AS (SELECT document, max((ts, event_id)) AS gone FROM e WHERE event_type = '{CHANGED}' GROUP BY document),
+c AS (SELECT e.* FROM e LEFT JOIN g USING (document) WHERE event_type <> '{CHANGED}' AND (gone IS NULL OR (ts, event_id) > gone))
+SELECT key, document, arg_min(value, (ts, event_id)) AS answer, min(ts) AS set_at, count(*) - 1 AS hits FROM c GROUP BY key, document""")
+def response_cache_table(spark: SparkSession, d: str) -> DataFrame:
+    """The cache as a table that the stream of calls keeps, where some events take a document's entries away."""
+    path = scratch(spark, "responses")
+    read = events(spark, d).select("event_id", "ts", F.col("event_type").alias("kind"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("user_id").alias("document"), F.col("value").alias("answer"))
+    usage.response_cache(read, path, CHANGED)
+    return usage.current(spark, path).withColumn("set_at", F.col("set_at").cast("timestamp_ntz"))
+
+
 @query()
 def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
     return usage.limiter_batch(load(spark, d, "events"), 86_400.0)

@@ -131,10 +131,11 @@ def response_cache(spark: SparkSession, d: str) -> DataFrame:
     return usage.cached_calls(keyed, "key").select("event_id", "hit")
 
 
-@query(f"WITH {CALLS} SELECT event_id, coalesce(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 86400, false) AS hit FROM c")
+@query(f"""WITH RECURSIVE {CALLS}, s AS (SELECT user_id, min(ts) AS ts FROM c GROUP BY user_id UNION ALL SELECT s.user_id, min(c.ts) FROM s JOIN c ON c.user_id = s.user_id AND c.ts > s.ts + INTERVAL 1 DAY GROUP BY s.user_id, s.ts)
+SELECT user_id, event_id, NOT (row_number() OVER (PARTITION BY c.user_id, c.ts ORDER BY event_id) = 1 AND s.ts IS NOT NULL) AS hit FROM c LEFT JOIN (SELECT DISTINCT user_id, ts FROM s) s USING (user_id, ts)""")
 def ttl_cache(spark: SparkSession, d: str) -> DataFrame:
-    stamped = calls(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return usage.cached_calls(stamped, "user_id", 86_400).select("event_id", "hit")
+    """An entry ends a day after it was set, whatever was asked in between."""
+    return usage.expiring_calls(calls(spark, d), "user_id", 86_400)
 
 
 @query(f"WITH {CALLS} SELECT count(DISTINCT (user_id, call_type)) AS entries, sum(h) AS hits, round(sum(h * f), 6) AS saved FROM (SELECT user_id, call_type, count(*) - 1 AS h, arg_min(cost, (ts, event_id)) AS f FROM c GROUP BY ALL)")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -24,3 +29,36 @@ def local(cpus: int = 8, memory: str = "12g", partitions: int | None = None) ->
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where one machine is
+    all there is and that is unset. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_before.isDefined():
+            root = set_before.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="foliospark-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = os.path.join(root, f"foliospark-{name}-{uuid.uuid4().hex}")
+    atexit.register(dropped, spark, path)
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone when the interpreter ends
+        return
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: worked out once, and its lineage is cut."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
