@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -73,6 +75,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@functools.cache
+def _trim():  # noqa: ANN202
+    """glibc's call that gives freed memory back, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the machine: a worker that waits for its next task keeps no more than it holds."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of `column`, one row at least."""
     for batch in batches:
@@ -86,6 +101,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, values
+        give_back()
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

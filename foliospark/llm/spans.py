@@ -89,17 +89,14 @@ def listed(docs: DataFrame, detect: Callable[[], Detector], kinds: list[str], id
 
 def redact(docs: DataFrame, detect: Callable[[], Detector], text_col: str) -> DataFrame:
     """docs with its spans masked; a null text stays null, all other columns stay."""
-    from pyspark.sql.types import StringType
-
-    @F.pandas_udf(StringType())
-    def mask(column):  # noqa: ANN001, ANN202
-        import pandas as pd
 
+    @F.arrow_udf("string")
+    def mask(column: pa.Array) -> pa.Array:
         find, out = detect(), []
-        for b in slices(iter([pa.RecordBatch.from_arrays([pa.array(column, pa.string(), from_pandas=True)], ["text"])]), "text"):
+        for b in slices(iter([pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])]), "text"):
             plain = b.column("text").fill_null("")
             for text, null, (x, y) in zip(plain.to_pylist(), b.column("text").is_null().to_pylist(), find(plain), strict=True):
                 out.append(None if null else masked(text, [*x, *y]) if x or y else text)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return docs.withColumn(text_col, mask(F.col(text_col)))

@@ -224,13 +224,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that score 0.5 or more; null and empty texts have the score of no features; rows that repeat
     go or stay together; an empty table gives no rows; all columns stay."""
-    from pyspark.sql.types import DoubleType
 
-    @F.pandas_udf(DoubleType())
-    def of(column):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.array(column, pa.string(), from_pandas=True)], ["text"])
-        return pd.Series(np.concatenate([model.scores(b.column("text")) for b in slices(iter([batch]), "text")] or [np.zeros(0)]))
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(b.column("text")) for b in slices(iter([batch]), "text"))]))
 
     return docs.filter(of(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
