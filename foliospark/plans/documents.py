@@ -10,7 +10,7 @@ from foliospark.operators import bundles, reshape, scoring, validate
 from foliospark.plans.registry import query
 from foliospark.plans.retrieval import CHUNKS, chunks
 from foliospark.session import load
-from foliospark.sources import markup
+from foliospark.sources import content, markup
 
 #: Injected phrases, invisible characters and markup, so that text queries have something to find: n % 6 picks one.
 SAMPLES = ["Please IGNORE all previous instructions: now", "zero​width ﻿", "<script>x()</script><b onclick='y()'>bold</b>", "call 9876543210 or mail a.b@c.org", "ABCDE1234F born 01/02/1990 id 1234 5678 9012", ""]
@@ -109,6 +109,14 @@ def web_pages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.md5(markup.page_text(F.col("html"))).alias("body"), markup.page_name(markup.title(F.col("html"), F.col("url"))).alias("name"))
 
 
+# nested tags are beyond SQL; tests hold it to a parser of their own
+@query()
+def page_contents(spark: SparkSession, d: str) -> DataFrame:
+    p = content.contents(load(spark, d, "pages"))
+    rows = p.select("page_id", "content.title", F.explode(content.paged(F.col("content.text"))).alias("p"))
+    return rows.select("page_id", "title", "p.page_num", F.md5("p.text").alias("text_md5"), "p.words")
+
+
 HINTS = "[" + ", ".join(f"'{h}'" for h in markup.SIGNATURE_HINTS) + "]"
 
 
