@@ -33,19 +33,29 @@ def field_type(name: Column) -> Column:
     return out
 
 
-def well_formed(value: Column, kind: Column) -> Column:
+def named_type(name: str) -> str:
+    """As field_type, of a name that is known when the plan is made."""
+    words = name.lower().split("_")
+    return next((kind for kind, tokens in FIELD_TYPES if set(words) & set(tokens)), "text")
+
+
+FORMS = {
+    "email": lambda x: x.rlike(EMAIL),
+    "phone": lambda x: F.regexp_replace(x, r"[\s\-+()]", "").rlike(r"^[0-9]{7,15}$"),
+    "date": lambda x: dates.parsed(x, dates.CHECK_FORMATS).isNotNull(),
+    "amount": lambda x: money.score_amount(x).isNotNull(),
+    "url": lambda x: x.rlike("^https?://"),
+}
+
+
+def well_formed(value: Column, kind: Column | str) -> Column:
     """True or false for typed fields, null for others."""
-    digits = F.regexp_replace(value, r"[\s\-+()]", "")
-    return (
-        F.when(kind == "email", value.rlike(EMAIL))
-        .when(kind == "phone", digits.rlike(r"^[0-9]{7,15}$"))
-        .when(kind == "date", dates.parsed(value, dates.CHECK_FORMATS).isNotNull())
-        .when(kind == "amount", money.score_amount(value).isNotNull())
-        .when(kind == "url", value.rlike("^https?://"))
-    )
+    if isinstance(kind, str):
+        return FORMS[kind](value) if kind in FORMS else F.lit(None).cast("boolean")
+    return reduce(lambda out, form: F.when(kind == form, FORMS[form](value)).otherwise(out), FORMS, F.lit(None).cast("boolean"))
 
 
-def confidence(value: Column, kind: Column) -> Column:
+def confidence(value: Column, kind: Column | str) -> Column:
     v = F.trim(value)
     words = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
     text = F.when(words >= 2, 0.85).when((words == 1) & (F.length(v) > 2), 0.7).otherwise(0.5)
