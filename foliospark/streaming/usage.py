@@ -191,8 +191,8 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{version(spark, path)}")
 
 
-def kept_versions(stream: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
-    """A table that each batch replaces by merge(batch, table before it). A batch's number names its version, made from the
+def kept_versions(stream: DataFrame, path: str, merge: Callable[..., DataFrame], numbered: bool = False) -> None:
+    """A table that each batch replaces by merge(batch, table before it), if numbered with the batch's number behind. A batch's number names its version, made from the
     last whole one under that number, so that a batch that comes again writes the same rows; the checkpoint beside it makes
     numbers go on after a restart. Of older versions the last two stay."""
     spark = stream.sparkSession
@@ -200,7 +200,7 @@ def kept_versions(stream: DataFrame, path: str, merge: Callable[[DataFrame, Data
     def step(batch: DataFrame, n: int) -> None:
         last = version(batch.sparkSession, path, n)
         old = None if last is None else batch.sparkSession.read.parquet(f"{path}/v{last}")
-        merge(batch, old).write.mode("overwrite").parquet(f"{path}/v{n}")
+        merge(batch, old, *([n] if numbered else [])).write.mode("overwrite").parquet(f"{path}/v{n}")
         if last is not None and (older := version(batch.sparkSession, path, last)) is not None and (oldest := version(batch.sparkSession, path, older)) is not None:
             dropped(spark, f"{path}/v{oldest}")
 
