@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions import dates, money, pii, strings
+from foliospark.functions import dates, money, pii, sentences, strings
 from foliospark.operators import bundles, reshape, scoring, validate
 from foliospark.plans.registry import query
 from foliospark.plans.retrieval import CHUNKS, chunks
@@ -117,6 +117,14 @@ def page_contents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", "title", "p.page_num", F.md5("p.text").alias("text_md5"), "p.words")
 
 
+# a fold over sentences; tests hold it to the plain function
+@query()
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Parents and their children of whole documents, by column functions alone."""
+    rows = load(spark, d, "documents").select("doc_id", F.posexplode(sentences.family(F.col("text"))).alias("parent", "f"))
+    return rows.select("doc_id", "parent", F.md5("f.parent").alias("parent_md5"), F.size("f.children").alias("children"), F.md5(F.array_join("f.children", "\n")).alias("children_md5"))
+
+
 HINTS = "[" + ", ".join(f"'{h}'" for h in markup.SIGNATURE_HINTS) + "]"
 
 
