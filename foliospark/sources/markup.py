@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ LARGEST = 50 * 1024 * 1024
 # Networks that an outgoing call must not reach, IPv4 as (first, prefix length).
 BLOCKED = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("0.0.0.0", 8), ("100.64.0.0", 10), ("198.18.0.0", 15), ("240.0.0.0", 4)]
 
-# IPv6 networks of the same kind, as patterns of their first groups in lower case.
-BLOCKED_V6 = r"^(::1|0:0:0:0:0:0:0:1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
+# IPv6 networks of the same kind, as (first, prefix length).
+BLOCKED_V6 = [("::1", 128), ("fc00::", 7), ("fe80::", 10)]
 # Hosts that an outgoing call must not name.
 BLOCKED_HOSTS = ["localhost", "localhost.localdomain", "metadata", "metadata.google.internal", "169.254.169.254", "100.100.100.200"]
 
@@ -82,12 +83,34 @@ def blocked(ip: Column) -> Column:
     return reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False))
 
 
+def address6(ip: Column) -> Column:
+    """An IPv6 address, in any spelling and without its zone, as 32 hexadecimal digits; null if it isn't one."""
+    plain = F.regexp_replace(F.lower(ip), "%.*$", "")
+    last = address(F.regexp_extract(plain, r"([^:]*)$", 1))
+    dotted = F.concat(F.regexp_extract(plain, r"^(.*:)[^:]*$", 1), F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(F.lit(65535)))))
+    text = F.coalesce(dotted, plain)
+    sides = F.split(text, "::")
+    groups = lambda n: F.when(F.coalesce(F.get(sides, F.lit(n)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(n)), ":"))
+    gap = 8 - F.size(groups(0)) - F.size(groups(1))
+    every = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), groups(1))
+    fits = ((F.size(sides) == 2) & (gap > 0)) | ((F.size(sides) == 1) & (gap == 0))
+    return F.when(fits & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def blocked6(ip: Column) -> Column:
+    def within(first: str, length: int) -> Column:
+        low = int(ipaddress.IPv6Address(first))
+        return address6(ip).between(f"{low:032x}", f"{low + (1 << (128 - length)) - 1:032x}")
+
+    return F.coalesce(reduce(lambda x, n: x | within(*n), BLOCKED_V6, F.lit(False)), F.lit(False))
+
+
 def refusal(url: Column) -> Column:
     """Why an outgoing call may not go to a URL, by what it says itself; null where it may. Names aren't looked up."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     named = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     host = F.regexp_replace(named, r"[\[\]]", "")
-    private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(host.rlike(BLOCKED_V6))
+    private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(blocked6(host))
     return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
 
 
