@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import decoded, let
+
 # Phrases that suggest a prompt injection; case doesn't matter, and . matches line ends.
 INJECTION = [
     r"ignore\s+(all\s+)?(previous|prior|above)\s+instructions?",
@@ -42,13 +44,15 @@ MARKUP = [
     (r"<[^>]+>", ""),
 ]
 INVISIBLE = "​‌‍⁠﻿"
+#: White space of any script, as a class of a pattern.
+SPACE = r"\t-\r\x1c- \x85\xa0  -     　"
 #: Longest text that a trace keeps.
 TRACE_LIMIT = 4000
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any script at both ends; in time proportional to the text, whatever runs of it are inside."""
+    return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
 
 
 def cleaned(text: Column) -> Column:
@@ -58,7 +62,7 @@ def cleaned(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     t = stripped(text)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"[{SPACE}]++")))
 
 
 def visible(text: Column) -> Column:
@@ -75,7 +79,9 @@ def sandboxed(text: Column) -> Column:
 
 
 def without_markup(text: Column) -> Column:
-    return stripped(reduce(lambda t, m: F.regexp_replace(t, m[0], m[1]), MARKUP, text))
+    """Scripts, styles, handlers, javascript links and tags go in this order, then references become characters: what they
+    spell is text, and stays."""
+    return stripped(let(reduce(lambda t, m: F.regexp_replace(t, m[0], m[1]), MARKUP, text), decoded))
 
 
 def truncated(text: Column, limit: int = TRACE_LIMIT) -> Column:
@@ -92,8 +98,8 @@ def prompt_hash(*parts: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """Letters, digits, _ and - only; 'table' if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_\-]", "_"), r"^_+|_+$", "")
+    """Letters and digits of any script, _ and - only; 'table' if nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_\-]", "_"), r"^_+|_+$", "")
     return F.when(s == "", "table").otherwise(s)
 
 
@@ -103,5 +109,5 @@ def field_name(name: Column) -> Column:
 
 def collapsed(text: Column, most: int = 60, shown: int = 12) -> Column:
     """A long unchanged run as its first words and the number of words."""
-    w = F.split(stripped(text), r"\s+")
+    w = F.split(stripped(text), f"[{SPACE}]++")
     return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, shown), " "), F.lit(" ... "), F.size(w).cast("string"), F.lit(" words unchanged"))).otherwise(text)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from html.entities import html5
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import let as _let
+from foliospark.functions.entities import unescaped
+from foliospark.functions.strings import SPACE
+from foliospark.functions.strings import stripped as trimmed
 from foliospark.sources.markup import DROPPED
 
 # Elements without an end tag.
@@ -20,46 +21,10 @@ PAGE = 3000
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 #: A comment, a script or style with all that is in it, a declaration, a tag, or text up to one of these.
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)\b{_ATTRIBUTES}>(?<!/>).*?(?:</\1\s*+>|\z)|<[!?][^>]*+(?:>|\z)|</?[a-z]{_ATTRIBUTES}(?:>|\z)|</[^>]*+(?:>|\z)|(?:[^<]++|<(?![a-z/!?]))++"
-#: White space and line ends of any script, as a class of a pattern.
-SPACE = r"\t-\r\x1c- \x85\xa0  -     　"
+#: Line ends of any script, as a pattern.
 LINE = r"\r\n|[\n-\r\x1c-\x1e\x85  ]"
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """body of value, which is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]++|[{SPACE}]++$", "")
-
-
-def _character(number: Column) -> Column:
-    """The character of a numeric reference; 128 to 159 as windows-1252 has them, U+FFFD for what is no character."""
-    western = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
-    able = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    wide = F.decode(F.unhex(F.lpad(F.hex(F.when(able, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    return F.when(number.between(128, 159), F.substring(F.lit(western), number.cast("int") - 127, F.lit(1))).otherwise(wide)
-
-
-def unescaped(text: Column) -> Column:
-    """References to characters as characters, with or without a semicolon; an unknown name stays, without its semicolon."""
-    names = F.from_json(F.lit(json.dumps({n.rstrip(";"): c for n, c in html5.items()})), "map<string,string>")
-
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, "^&([A-Za-z][A-Za-z0-9.-]*+)", 1)
-        digits = F.regexp_extract(p, "^&#([0-9]++)", 1)
-        hexed = F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]++)", 1)
-        far = F.lit(0x110000)
-        decimal = F.coalesce(digits.try_cast("bigint"), far)
-        sixteen = F.coalesce(F.when(F.length(hexed) <= 12, F.conv(hexed, 16, 10).try_cast("bigint")), far)
-        named = F.when(name != "", F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name)))
-        return F.when(~F.startswith(p, F.lit("&")), p).otherwise(F.coalesce(named, F.when(digits != "", _character(decimal)), F.when(hexed != "", _character(sixteen)), p))
-
-    pieces = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9.-]*+);?+|&|[^&]++"), F.lit(0))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
-
-
 def _read(token: Column) -> Column:
     """name of a tag (empty for all else), whether it opens or closes an element, and text."""
     name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*+)", 1))
