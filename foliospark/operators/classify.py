@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import let
+from foliospark.functions.strings import stripped, word_count
+from foliospark.operators.retrieval import cosine, norm
+from foliospark.sources.text import IMAGES, extension
+
 HEAD, SPREAD, GATE = 500, 0.3, 0.75
+#: Most exemplars that are held against every document.
+EXEMPLARS = 64
 # Phrases by document type.
 SIGNALS = {
     "invoice": ["invoice no", "invoice number", "bill to", "total amount due", "tax invoice", "gst invoice", "invoice date", "payment due", "subtotal", "amount payable"],
@@ -63,6 +71,29 @@ def decided(keyword: DataFrame, embedding: DataFrame | None = None) -> DataFrame
     return best.select("doc_id", F.when(lead == 0, "general").otherwise(F.col("doc_type")).alias("doc_type"), lead.alias("confidence"))
 
 
+def stage1(docs: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """doc_id, doc_type, confidence of docs(doc_id, text, embedding), as `decided` has them of phrases and of the cosine with
+    exemplars(doc_type, embedding), one a type. A type that has no phrases, or no exemplar, counts 0 for that half, and so does
+    a null vector. Blank and null texts are general. Repeated rows stay. No document moves: the exemplars, EXEMPLARS at most
+    (more are refused), go along as one row; those of a null type don't count."""
+    exemplars = exemplars.filter("doc_type is not null")
+    if len(exemplars.select("doc_type").take(EXEMPLARS + 1)) > EXEMPLARS:
+        raise ValueError(f"more than {EXEMPLARS} exemplars")
+    one = exemplars.agg(F.collect_list(F.struct("doc_type", "embedding", norm(F.col("embedding")).alias("norm"))).alias("_exemplars"))
+    held = docs.select("doc_id", "text", "embedding").crossJoin(F.broadcast(one))
+    head = F.lower(F.substring("text", 1, HEAD))
+    said = lambda t: F.round(sum(F.contains(F.col("_head"), F.lit(s)).cast("int") for s in SIGNALS[t]) / len(SIGNALS[t]), 9)
+    near = let(norm(F.col("embedding")), lambda n: F.transform("_exemplars", lambda e: F.struct(e["doc_type"], F.round(cosine(F.col("embedding"), e["embedding"], n * e["norm"]), 9))))
+    halves = held.withColumn("_head", head).withColumn("_k", F.create_map(*(x for t in SIGNALS for x in (F.lit(t), said(t))))).withColumn("_e", F.map_from_entries(near))
+    half = lambda of, t: 0.5 * F.coalesce(F.try_element_at(of, t), F.lit(0.0))
+    every = F.array_union(F.map_keys("_k"), F.map_keys("_e"))
+    ranked = F.array_sort(F.transform(every, lambda t: F.struct((0.0 - (half(F.col("_k"), t) + half(F.col("_e"), t))).alias("less"), t.alias("doc_type"))))
+    best, second = -F.col("_r")[0]["less"], -F.coalesce(F.get("_r", 1)["less"], F.lit(0.0))
+    lead = F.when((best <= 0) | F.coalesce(stripped(F.col("text")) == "", F.lit(True)), 0.0).otherwise(F.round(F.least((best - second) / SPREAD, F.lit(1.0)), 3))
+    done = halves.select("doc_id", "text", ranked.alias("_r")).select("doc_id", F.col("_r")[0]["doc_type"].alias("doc_type"), lead.alias("confidence"))
+    return done.withColumn("doc_type", F.when(F.col("confidence") == 0, "general").otherwise(F.col("doc_type")))
+
+
 def template(doc_type: Column) -> Column:
     known = F.create_map(*map(F.lit, chain(*TEMPLATES.items())))
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(doc_type))), F.lit("custom"))
@@ -72,8 +103,9 @@ def stage(confidence: Column) -> Column:
     return F.when(confidence >= GATE, "stage1").otherwise("stage2")
 
 
-def needs_vision(path: Column, text: Column, is_scanned: Column, doc_type: Column, least: int = 50) -> Column:
-    from foliospark.functions.strings import word_count
-    from foliospark.sources.text import IMAGES, extension
-
-    return extension(path).isin(IMAGES) | is_scanned | doc_type.isin(VISUAL) | (word_count(F.coalesce(text, F.lit(""))) < least)
+def needs_vision(path: Column, text: Column, is_scanned: Column, doc_type: Column, provider: Column, least: int = 50) -> Column:
+    """Whether a model is to look at a page: one is there, and the file is a picture, a scan, of a type that pictures carry, or
+    has fewer than `least` words. Nulls count as no."""
+    few = word_count(F.coalesce(text, F.lit(""))) < least
+    wanted = [extension(path).isin(IMAGES), is_scanned, doc_type.isin(VISUAL), few]
+    return reduce(lambda a, b: a | b, (F.coalesce(w, F.lit(False)) for w in wanted)) & (F.coalesce(provider, F.lit("")) != "")

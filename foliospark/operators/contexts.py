@@ -70,3 +70,23 @@ def overridden(classification: Column, doc_type: Column, template: Column) -> Co
     """A classification struct set by hand: certain, flagged, and out of review; its other fields stay."""
     new = classification.withField("doc_type", doc_type).withField("schema_template", F.coalesce(template, doc_type)).withField("confidence", F.lit(1.0))
     return new.withField("manually_overridden", F.lit(True)).withField("requires_human_review", F.lit(False))
+
+
+#: Fields that corrections are shown for, the latest of each that are looked at, and all that are shown.
+CORRECTED_FIELDS, CORRECTIONS, SHOWN = 5, 3, 5
+
+
+def correction_examples(corrections: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_type, place, field, original, corrected: what reviewers changed, for prompts of each type of document.
+
+    Of the first CORRECTED_FIELDS fields the latest CORRECTIONS rows with the action `correct` count, by created_at, ties to the
+    smaller id. Of these, rows whose two values differ and aren't empty or null are shown, field by field, SHOWN in all.
+    corrections(id, doc_type, field, original, corrected, action, created_at). Ranks are cut in the tasks before anything
+    moves, so a type or a field with most of the rows sends few of them."""
+    order = F.create_map(*(x for i, f in reversed(list(enumerate(fields[:CORRECTED_FIELDS]))) for x in (F.lit(f), F.lit(i))))
+    known = corrections.filter(F.col("field").isin(fields[:CORRECTED_FIELDS]) & (F.col("action") == "correct"))
+    latest = Window.partitionBy("doc_type", "field").orderBy(F.desc_nulls_last("created_at"), "id")
+    some = known.withColumn("_nth", F.row_number().over(latest)).filter(F.col("_nth") <= CORRECTIONS)
+    told = some.filter((F.col("original") != "") & (F.col("corrected") != "") & (F.col("original") != F.col("corrected")))
+    shown = Window.partitionBy("doc_type").orderBy(F.try_element_at(order, F.col("field")), "_nth")
+    return told.withColumn("place", F.row_number().over(shown)).filter(F.col("place") <= SHOWN).select("doc_type", "place", "field", "original", "corrected")

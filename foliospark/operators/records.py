@@ -139,7 +139,8 @@ def without_claims(scores: DataFrame, n_criteria: int) -> DataFrame:
     return lost.filter("delta > 0").select("key", F.round(F.greatest(F.col("overall") - F.col("delta") / max(n_criteria, 1), F.lit(0.0)), 2).alias("adjusted"))
 
 
-def cited(evidence: DataFrame) -> DataFrame:
-    """number: citations run over a shortlist by rank, then criterion; entries without a snippet have none."""
-    w = Window.orderBy("rank", "criterion_pos")
+def cited(evidence: DataFrame, request: str) -> DataFrame:
+    """number: citations of each request run over its shortlist by rank, then criterion; entries without a snippet have none,
+    and aren't returned. Rows of one request are sorted in one task, which holds one row at a time."""
+    w = Window.partitionBy(request).orderBy("rank", "criterion_pos")
     return evidence.filter(F.coalesce(F.col("snippet"), F.lit("")) != "").withColumn("number", F.row_number().over(w))

@@ -23,6 +23,31 @@ def summary(calls: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def session(calls: DataFrame, key: str) -> DataFrame:
+    """By key, and by key and call_type: calls, tokens (a quarter of the code points of a call, rounded down), avg_latency_ms
+    (of whole milliseconds, ties to the even one), is_total. calls(key, call_type, prompt_chars, response_chars, latency in
+    seconds); null sizes count 0, null latencies don't count, and a null call_type is a type."""
+    chars = F.coalesce("prompt_chars", F.lit(0)) + F.coalesce("response_chars", F.lit(0))
+    one = calls.select(F.col(key), "call_type", F.floor(chars / 4).alias("_tokens"), F.bround(F.col("latency") * 1000).alias("_ms"))
+    sets = one.groupingSets([[F.col(key), F.col("call_type")], [F.col(key)]], F.col(key), F.col("call_type"))
+    out = sets.agg(F.count("*").alias("calls"), F.sum("_tokens").alias("tokens"), F.bround(F.avg("_ms")).cast("long").alias("avg_latency_ms"), F.grouping("call_type").cast("boolean").alias("is_total"))
+    return out.select(key, "call_type", "calls", "tokens", "avg_latency_ms", "is_total")
+
+
+def counters(documents: DataFrame, lineage: DataFrame, calls: DataFrame, day: Column) -> DataFrame:
+    """user_id, documents, uploads_today, cost_month, queries_today as of a day (UTC), for users who have any of these rows:
+    what quotas are held against. documents(user_id), lineage(user_id, event_type, ts), calls(user_id, call_type, cost, ts).
+    What is dated later counts too; rows without an instant don't, nor do null costs. Counts meet in one shuffle, after sums
+    in the tasks; rows of a null user are one user."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    today, month = F.col("ts") >= day.cast("timestamp"), F.col("ts") >= F.trunc(day, "MM").cast("timestamp")
+    row = lambda df, d=zero, u=zero, c=F.lit(0.0), q=zero: df.select("user_id", d.alias("documents"), u.alias("uploads_today"), c.alias("cost_month"), q.alias("queries_today"))
+    uploads = row(lineage.filter((F.col("event_type") == "upload_received") & today), u=one)
+    asked = row(calls.filter(month), c=F.coalesce("cost", F.lit(0.0)), q=F.when((F.col("call_type") == "query") & today, one).otherwise(zero))
+    every = row(documents, d=one).unionByName(uploads).unionByName(asked)
+    return every.groupBy("user_id").agg(F.sum("documents").alias("documents"), F.sum("uploads_today").alias("uploads_today"), F.round(F.sum("cost_month"), 6).alias("cost_month"), F.sum("queries_today").alias("queries_today"))
+
+
 def daily(calls: DataFrame) -> DataFrame:
     """user_id, day, queries, extractions, calls, cost, hits."""
     return calls.groupBy("user_id", F.to_date("ts").alias("day")).agg(

@@ -96,3 +96,37 @@ def page_of_match(spark: SparkSession, d: str) -> DataFrame:
 def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     words = F.size(F.filter(F.split("text", r"[ \n\t\r\f\x0B]+"), lambda x: x != ""))
     return load(spark, d, "documents").groupBy("source").agg(F.sum(words).alias("words"), F.count("*").alias("pages"), F.count_if(F.contains(F.col("text"), F.lit("|"))).alias("tables"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS doc_type, l_linenumber AS f, l_orderkey AS id, CASE WHEN l_tax > 0.01 THEN l_linestatus ELSE '' END AS original, CASE WHEN l_discount > 0.04 THEN l_returnflag ELSE l_linestatus END AS corrected, l_shipdate FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <= 5),
+n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_type, f ORDER BY l_shipdate DESC, id) <= 3),
+p AS (SELECT doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY f, l_shipdate DESC, id) AS place, 'field_' || f AS field, original, corrected FROM n WHERE original <> '' AND corrected <> '' AND original <> corrected)
+SELECT * FROM p WHERE place <= 5""")
+def correction_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as types of documents, lines of an order as fields, of which seven are asked for and five count."""
+    flag = F.col("l_returnflag")
+    rows = load(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("doc_type"), F.concat(F.lit("field_"), "l_linenumber").alias("field"), F.when(F.col("l_tax") > 0.01, F.col("l_linestatus")).otherwise("").alias("original"),
+        F.when(F.col("l_discount") > 0.04, flag).otherwise(F.col("l_linestatus")).alias("corrected"), F.when(flag != "N", "correct").otherwise("keep").alias("action"), F.col("l_shipdate").alias("created_at"),
+    )
+    return contexts.correction_examples(rows, [f"field_{i}" for i in range(1, 8)]).withColumn("place", F.col("place").cast("long"))
+
+
+@query(r"""SELECT doc_id, doc_id % 6 <> 5 AND (doc_id % 6 = 1 OR doc_id % 7 = 0 OR source = 'src3' OR len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 50) AS vision FROM documents""")
+def vision_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One file of six is a picture, one of seven a scan, and one of six has no provider; documents of one source stand for a type that pictures carry."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("f/"), i.cast("string"), F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".docx", ".txt", ".pdf", ".jpg"))), (i % 6 + 1).cast("int")))
+    kind = F.when(F.col("source") == "src3", "id_document").otherwise("invoice")
+    return load(spark, d, "documents").select("doc_id", classify.needs_vision(path, F.col("text"), i % 7 == 0, kind, F.when(i % 6 != 5, "some")).alias("vision"))
+
+
+@query("SELECT o_custkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) AS number FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N'")
+def citation_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as requests, their orders as a shortlist, lines as criteria; lines that weren't returned have no snippet."""
+    from foliospark.operators import records
+
+    o = load(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("snippet"))
+    rows = lines.join(o, "l_orderkey").select("*", F.col("l_orderkey").alias("rank"), F.col("l_linenumber").alias("criterion_pos"))
+    return records.cited(rows, "o_custkey").select("o_custkey", "l_orderkey", "l_linenumber", F.col("number").cast("long").alias("number"))

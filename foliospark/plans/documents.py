@@ -334,6 +334,28 @@ def capital_gains(spark: SparkSession, d: str) -> DataFrame:
     return scoring.gains(rows.select("o_custkey", "buy_date", sold.alias("sell_date"), (F.col("l_quantity") * 900).alias("buy_value"), F.col("l_extendedprice").alias("sell_value")), "o_custkey")
 
 
+@query("WITH g AS (SELECT o_custkey, l_extendedprice - l_quantity * 900 AS gain, coalesce(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) <= 60, true) AS short FROM lineitem JOIN orders ON o_orderkey = l_orderkey), s AS (SELECT o_custkey, round(sum(CASE WHEN short THEN gain ELSE 0 END), 2) AS stcg, round(sum(CASE WHEN short THEN 0 ELSE gain END), 2) AS ltcg FROM g GROUP BY o_custkey) SELECT o_custkey, greatest(stcg, 0) * 0.2::DOUBLE + greatest(ltcg - 125000, 0) * 0.125::DOUBLE AS tax FROM s")
+def capital_gains_tax(spark: SparkSession, d: str) -> DataFrame:
+    return capital_gains(spark, d).select("o_custkey", scoring.gains_tax(F.col("stcg"), F.col("ltcg")).alias("tax"))
+
+
+MARKED = """t AS (SELECT doc_id, text || chr(10) || '| lang | ' || chr(10) || '|---|--- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' || chr(10) || '||' || chr(10) || 'n | ' || n_chars || chr(10) || 'end' || chr(10) || 'a | b' || chr(10) || '--- | ---' || chr(10) || text AS text FROM documents)"""
+TRIMMED = r"list_filter(list_transform(string_split(x, '|'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '')"
+
+
+@query(rf"""WITH {MARKED}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^[^\n]*\|[^\n]*\n[^\n]*---[^\n]*(?:\n[^\n]*\|[^\n]*)*')) AS raw, generate_subscripts(regexp_extract_all(text, '(?m)^[^\n]*\|[^\n]*\n[^\n]*---[^\n]*(?:\n[^\n]*\|[^\n]*)*'), 1) AS i FROM t),
+l AS (SELECT doc_id, i, raw, list_transform(string_split(raw, chr(10)), lambda x: {TRIMMED}) AS l FROM m),
+f AS (SELECT doc_id, i, raw, l[1] AS h, list_filter(l[3:], lambda r: len(r) > 0) AS r FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS table_num, array_to_string(h, ',') AS headers, len(r) AS n_rows, md5(array_to_string(list_transform(r, lambda c: array_to_string(c, ',')), ';')) AS cells, md5(raw) AS raw_text FROM f WHERE len(h) > 0 AND len(r) > 0""")
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Each text stands before a table of its own and under the head of another."""
+    n, c = F.lit("\n"), F.col
+    text = F.concat("text", n, F.lit("| lang | \n|---|--- |\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n||\nn | "), c("n_chars").cast("string"), F.lit("\nend\na | b\n--- | ---\n"), "text")
+    each = load(spark, d, "documents").select("doc_id", F.posexplode(markup.pipe_tables(text)).alias("i", "t"))
+    rows = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ",")), ";")
+    return each.select("doc_id", (c("i") + 1).cast("long").alias("table_num"), F.array_join("t.headers", ",").alias("headers"), F.size("t.rows").cast("long").alias("n_rows"), F.md5(rows).alias("cells"), F.md5("t.raw_text").alias("raw_text"))
+
+
 @query("WITH c AS (VALUES ('A'), ('N'), ('R'), ('X')) SELECT s_suppkey AS candidate, col0 AS criterion, coalesce(score, 0) AS score FROM supplier CROSS JOIN c LEFT JOIN (SELECT l_suppkey, l_returnflag, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY ALL) x ON l_suppkey = s_suppkey AND l_returnflag = col0")
 def score_grid(spark: SparkSession, d: str) -> DataFrame:
     criteria = spark.createDataFrame([(x,) for x in "ANRX"], "criterion string")

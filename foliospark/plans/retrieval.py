@@ -221,3 +221,24 @@ def value_boxes(spark: SparkSession, d: str) -> DataFrame:
     """The place on a page of each value in each document: of its chunks with a place, the one where it stands earliest."""
     placed = chunks(spark, d).withColumn("bbox", F.when(F.col("page_num") % 4 != 0, F.concat(F.lit("page "), F.col("page_num").cast("string"))))
     return places.places(placed, values(spark, d)).withColumnRenamed("value_id", "item_id")
+
+
+#: Types of the exemplars, by label; the last two have no phrases.
+EXEMPLARS = [*list(classify.SIGNALS)[:8], "report", "article"]
+
+
+@query(f"""WITH kinds AS ({KINDS}), v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS a FROM embeddings), ex AS (SELECT {EXEMPLARS}[label + 1] AS doc_type, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings WHERE label < 10 GROUP BY label)),
+t AS (SELECT doc_type FROM kinds UNION SELECT doc_type FROM ex),
+k AS (SELECT doc_id, doc_type, round(len(list_filter(signals, lambda s: contains(lower(substring(text, 1, 500)), s))) / len(signals)::DOUBLE, 9) AS k FROM documents, kinds),
+e AS (SELECT doc_id, doc_type, round(list_cosine_similarity(a, b), 9) AS e FROM v, ex),
+s AS (SELECT d.doc_id, t.doc_type, 0.5::DOUBLE * coalesce(k, 0.0::DOUBLE) + 0.5::DOUBLE * coalesce(e, 0.0::DOUBLE) AS s FROM documents d CROSS JOIN t LEFT JOIN k USING (doc_id, doc_type) LEFT JOIN e USING (doc_id, doc_type)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, doc_type) AS n, lead(s) OVER (PARTITION BY doc_id ORDER BY s DESC, doc_type) AS second FROM s),
+f AS (SELECT doc_id, doc_type, CASE WHEN s <= 0 OR trim(text) = '' THEN 0.0 ELSE round(least((s - second) / 0.3, 1.0), 3) END AS confidence FROM r JOIN documents USING (doc_id) WHERE n = 1)
+SELECT doc_id, CASE WHEN confidence = 0 THEN 'general' ELSE doc_type END AS doc_type, confidence, CASE WHEN confidence >= 0.75 THEN 'stage1' ELSE 'stage2' END AS stage FROM f""")
+def exemplar_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases and vectors by halves; the first vector of each of the first ten labels is a type's exemplar."""
+    v = load(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    first = v.filter("label < 10").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    exemplars = first.select(F.get(F.array(*map(F.lit, EXEMPLARS)), F.col("label")).alias("doc_type"), "embedding")
+    docs = load(spark, d, "documents").select("doc_id", "text").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return classify.stage1(docs, exemplars).withColumn("stage", classify.stage(F.col("confidence")))

@@ -149,6 +149,26 @@ def session_usage(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).groupBy("user_id").agg(F.count("*").alias("calls"), F.sum(F.floor((F.col("tokens") + F.length("call_type")) / 4)).alias("tokens"))
 
 
+@query(f"""WITH {CALLS}, m AS (SELECT user_id, call_type, (coalesce(tokens, 0) + length(call_type)) // 4 AS t, round_even(latency * 1000, 0) AS ms FROM c)
+SELECT user_id, call_type, count(*) AS calls, sum(t)::BIGINT AS tokens, round_even(avg(ms), 0)::BIGINT AS avg_latency_ms, grouping(call_type) = 1 AS is_total FROM m GROUP BY GROUPING SETS ((user_id, call_type), (user_id))""")
+def session_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = calls(spark, d).select("user_id", "call_type", F.col("tokens").alias("prompt_chars"), F.length("call_type").alias("response_chars"), "latency")
+    return usage.session(rows, "user_id")
+
+
+@query(f"""WITH {CALLS}, e AS (SELECT o_custkey AS user_id, 1 AS d, 0 AS u, 0.0::DOUBLE AS cost, 0 AS q FROM orders
+UNION ALL SELECT user_id, 0, 1, 0, 0 FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-20'
+UNION ALL SELECT user_id, 0, 0, coalesce(cost, 0), (call_type = 'view' AND ts >= TIMESTAMP '2024-01-20')::INT FROM c WHERE ts >= TIMESTAMP '2024-01-01')
+SELECT user_id, sum(d)::BIGINT AS documents, sum(u)::BIGINT AS uploads_today, round(sum(cost), 6) AS cost_month, sum(q)::BIGINT AS queries_today FROM e GROUP BY user_id""")
+def quota_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, signups as uploads and views as queries, as of 20 January."""
+    named = lambda c, was, now: F.when(F.col(c) == was, now).otherwise(F.col(c))
+    lineage = load(spark, d, "events").select("user_id", named("event_type", "signup", "upload_received").alias("event_type"), "ts")
+    asked = calls(spark, d).withColumn("call_type", named("call_type", "view", "query"))
+    documents = load(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
+    return usage.counters(documents, lineage, asked, F.lit("2024-01-20").cast("date"))
+
+
 PRICES = [("click", 0.29, 0.59), ("view", 0.15, 0.60), ("purchase", 2.50, 10.00)]
 
 

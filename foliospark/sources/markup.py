@@ -114,6 +114,22 @@ def refusal(url: Column) -> Column:
     return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
 
 
+#: A line with a bar, a line with dashes under it, and the lines with bars that follow.
+PIPE_TABLE = r"(?m)^[^|\n]*+\|[^\n]*+\n(?=[^\n]*---)[^\n]*+(?:\n[^|\n]*+\|[^\n]*+)*+"
+
+
+def pipe_tables(text: Column) -> Column:
+    """Array of the pipe tables of a Markdown text: headers, rows (cells stripped, blank ones dropped), raw_text. Tables without
+    a header cell or without rows, and blank rows, don't count. Null for a null text."""
+
+    def table(raw: Column) -> Column:
+        lines = F.transform(F.split(raw, "\n"), lambda x: F.filter(F.transform(F.split(x, r"\|"), stripped), lambda c: c != ""))
+        rows = F.filter(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda r: F.size(r) > 0)
+        return F.struct(lines[0].alias("headers"), rows.alias("rows"), raw.alias("raw_text"))
+
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(PIPE_TABLE), F.lit(0)), table), lambda t: (F.size(t["headers"]) > 0) & (F.size(t["rows"]) > 0))
+
+
 def table_rows(text: Column) -> Column:
     """Pipe-table lines of a Markdown text as arrays of cells, without the dashes under the header."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~F.replace(F.translate(F.trim(x), "|:- ", ""), F.lit(" "), F.lit("")).eqNullSafe(""))
