@@ -104,3 +104,26 @@ def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
 def united_kinds(spark: SparkSession, d: str) -> DataFrame:
     both = load(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"), F.collect_set("o_orderpriority").alias("p"))
     return both.select("o_custkey", F.array_join(F.array_sort(F.array_union("s", "p")), ",").alias("kinds"))
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, 'f' AS s, c_custkey % 11 = 0 AS bad, 1 AS n, round(c_acctbal, 2) AS salary, 0.0::DOUBLE AS interest, 0.0::DOUBLE AS sold FROM customer
+UNION ALL SELECT o_custkey, 'd', o_orderkey % 13 = 0, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE o_orderkey % 3 END, 0, CASE WHEN o_orderkey % 3 >= 1 THEN o_totalprice ELSE 0 END, 0 FROM orders
+UNION ALL SELECT o_custkey, 't', false, 1, 0, 0, l_extendedprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT k AS c_custkey, coalesce(sum(n) FILTER (s = 'f' AND NOT bad), 0)::BIGINT AS form16_entries, coalesce(sum(n) FILTER (s = 'd' AND NOT bad), 0)::BIGINT AS fd_interest_entries, coalesce(sum(n) FILTER (s = 't'), 0)::BIGINT AS stocks_entries, count(*) FILTER (bad) AS errors,
+coalesce(round(sum(salary) FILTER (NOT bad), 2), 0) AS salary, coalesce(round(sum(interest) FILTER (NOT bad), 2), 0) AS interest, coalesce(round(sum(sold) FILTER (NOT bad), 2), 0) AS sold FROM d WHERE n > 0 GROUP BY k""")
+def tax_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as employers' forms, orders as certificates of none to two deposits, lines as trades; some can't be read."""
+    from foliospark.operators import profiles
+
+    value = lambda c: F.struct(c.alias("value"), F.lit(None).cast("string").alias("bbox"))
+    failed = lambda on: F.when(on, F.lit("unreadable"))
+    k, c = F.col("o_orderkey"), load(spark, d, "customer")
+    forms = c.select("c_custkey", F.col("c_custkey").alias("document_id"), failed(F.col("c_custkey") % 11 == 0).alias("error"), F.struct(value(F.col("c_name")).alias("employer_name"), value(F.col("c_acctbal").cast("string")).alias("salary")).alias("extracted"))
+    entry = lambda n, x: F.struct(value(F.lit(n)).alias("bank_name"), x.alias("interest_earned"))
+    two = F.slice(F.array(entry("first", F.col("o_totalprice").cast("string")), entry("second", F.lit("n/a"))), 1, (k % 3).cast("int"))
+    o = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    deposits = o.select("c_custkey", k.alias("document_id"), failed(k % 13 == 0).alias("error"), F.struct(two.alias("fd_entries")).alias("extracted"))
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice").join(o.select("o_orderkey", "c_custkey"), "o_orderkey")
+    trades = lines.select("c_custkey", k.alias("document_id"), failed(F.lit(False)).alias("error"), F.struct(F.array(F.struct(F.col("l_extendedprice").alias("sell_value"))).alias("transactions")).alias("extracted"))
+    every = profiles.stitched("c_custkey", form16=forms, fd_interest=deposits, stocks=trades)
+    return profiles.totals(every, "c_custkey", {"salary": ("form16", "salary"), "interest": ("fd_interest", "interest_earned"), "sold": ("stocks", "sell_value")})
