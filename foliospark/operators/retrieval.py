@@ -38,21 +38,28 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, chunk_id, sparse for every chunk that has a term of a query. chunks(chunk_id, content), queries(qid, terms):
-    a term that a query repeats counts each time. Rare and common terms weigh by inverse frequency; negative weights
-    become a quarter of the mean weight."""
+def weights(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, term, times, avgdl, idf of the terms of queries(qid, terms) that some chunk has, from chunks(chunk_id, content).
+    Rare and common terms weigh by inverse frequency; negative weights become a quarter of the mean weight."""
     words = chunks.select("chunk_id", tokens(F.col("content")).alias("w"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     terms = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    # the mean weight is over all terms, of which counts alone are shuffled; places of terms only for those of queries
+    # the mean weight is over all terms, of which counts alone are shuffled
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    found = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
-    tf = found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     raw = df.crossJoin(F.broadcast(totals)).select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # totals: one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    weights = raw.join(small(terms), "term").crossJoin(F.broadcast(mean)).select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    scored = tf.join(weights, "term")
+    return raw.join(small(terms), "term").crossJoin(F.broadcast(mean)).select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, chunk_id, sparse for every chunk that has a term of a query. chunks(chunk_id, content), queries(qid, terms):
+    a term that a query repeats counts each time."""
+    words = chunks.select("chunk_id", tokens(F.col("content")).alias("w"))
+    # places of terms are shuffled only for those of queries
+    asked = queries.select(F.explode("terms").alias("term")).distinct()
+    found = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(asked), "term", "left_semi")
+    tf = found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    scored = tf.join(weights(chunks, queries), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("sparse"))
 

@@ -67,6 +67,32 @@ def test_counts_of_what_stands_before():
         assert fusion.before(cand, ids, own, own_ids).tolist() == want
 
 
+def test_no_table_of_all_pairs(spark, monkeypatch):
+    """What a search writes has the size of the chunks or of the candidates, not of queries times chunks."""
+    rows, put = [], fusion.written
+    monkeypatch.setattr(fusion, "written", lambda df, name: (t := put(df, name), rows.append(t.count()))[0])
+    chunks, asked = corpus(spark, 7, n=600)
+    got = listed(fusion.searched(chunks, asked, top=1), "qid", "chunk_id", "rrf")
+    assert got == listed(retrieval.hybrid(chunks, asked, 1), "qid", "chunk_id", "rrf")
+    assert max(rows) <= 600
+
+
+def test_pool_of_queries_without_known_terms(spark):
+    chunks, asked = corpus(spark, 8)
+    asked = asked.selectExpr("qid", "array('zz') AS terms", "qvector")
+    assert listed(fusion.searched(chunks, asked, 5), "qid", "chunk_num", "chunk_id") == listed(retrieval.hybrid(chunks, asked, 5), "qid", "chunk_num", "chunk_id")
+
+
+@pytest.mark.parametrize("size", [3, 1 << 61])
+def test_counts_for_all_queries_of_a_block(size):
+    rng = np.random.default_rng(4)
+    score, ids = rng.integers(0, 3, (5, 8)) * float(size), np.sort(rng.permutation(30)[:8])
+    held, chunk, at = rng.integers(0, 3, 20) * float(size), rng.integers(0, 30, 20), np.array([0, 3, 3, 9, 14, 20])
+    got = fusion.standing(score, ids, held, chunk, at, np.searchsorted(ids, chunk))
+    want = [sum((s, -i) > (held[j], -chunk[j]) for s, i in zip(score[q], ids)) for q in range(5) for j in range(at[q], at[q + 1])]
+    assert got.tolist() == want
+
+
 # --- places
 
 
