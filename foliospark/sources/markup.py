@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,11 +66,15 @@ def upload_error(ext: Column, head: Column, size: Column) -> Column:
     return F.when(~ext.isin(list(MAGIC)), "extension").when(size <= 0, "empty").when(size > LARGEST, "too large").when(~able, "content")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is worked out once however often f names it: Spark would write it out in each place."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def address(ip: Column) -> Column:
     """A dotted IPv4 address as a number; null if it isn't one."""
-    parts = F.split(ip, r"\.")
-    value = reduce(lambda a, i: a * 256 + F.get(parts, F.lit(i)).try_cast("long"), range(1, 4), F.get(parts, F.lit(0)).try_cast("long"))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
+    value = lambda parts: reduce(lambda a, i: a * 256 + F.get(parts, F.lit(i)).try_cast("long"), range(1, 4), F.get(parts, F.lit(0)).try_cast("long"))
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), bound(F.split(ip, r"\."), value))
 
 
 def network(first: str, length: int) -> tuple[int, int]:
@@ -79,39 +84,51 @@ def network(first: str, length: int) -> tuple[int, int]:
 
 
 def blocked(ip: Column) -> Column:
-    a = address(ip)
-    return reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False))
+    return bound(address(ip), lambda a: reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False)))
 
 
 def address6(ip: Column) -> Column:
     """An IPv6 address, in any spelling and without its zone, as 32 hexadecimal digits; null if it isn't one."""
+    def text(plain: Column) -> Column:
+        head = F.regexp_extract(plain, r"^(.*:)[^:]*$", 1)
+        dotted = lambda last: F.concat(head, F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(F.lit(65535)))))
+        return F.coalesce(bound(address(F.regexp_extract(plain, r"([^:]*)$", 1)), dotted), plain)
+
+    def groups(sides: Column, n: int) -> Column:
+        return F.when(F.coalesce(F.get(sides, F.lit(n)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(n)), ":"))
+
+    def filled(x: Column) -> Column:
+        gap = 8 - F.size(x["head"]) - F.size(x["tail"])
+        fits = ((x["n"] == 2) & (gap > 0)) | ((x["n"] == 1) & (gap == 0))
+        return F.when(fits, F.concat(x["head"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), x["tail"]))
+
+    def digits(every: Column) -> Column:
+        return F.when(F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    sides = lambda s: F.struct(F.size(s).alias("n"), groups(s, 0).alias("head"), groups(s, 1).alias("tail"))
     plain = F.regexp_replace(F.lower(ip), "%.*$", "")
-    last = address(F.regexp_extract(plain, r"([^:]*)$", 1))
-    dotted = F.concat(F.regexp_extract(plain, r"^(.*:)[^:]*$", 1), F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(F.lit(65535)))))
-    text = F.coalesce(dotted, plain)
-    sides = F.split(text, "::")
-    groups = lambda n: F.when(F.coalesce(F.get(sides, F.lit(n)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(n)), ":"))
-    gap = 8 - F.size(groups(0)) - F.size(groups(1))
-    every = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), groups(1))
-    fits = ((F.size(sides) == 2) & (gap > 0)) | ((F.size(sides) == 1) & (gap == 0))
-    return F.when(fits & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    return bound(bound(bound(F.split(bound(plain, text), "::"), sides), filled), digits)
 
 
 def blocked6(ip: Column) -> Column:
-    def within(first: str, length: int) -> Column:
+    def within(a: Column, first: str, length: int) -> Column:
         low = int(ipaddress.IPv6Address(first))
-        return address6(ip).between(f"{low:032x}", f"{low + (1 << (128 - length)) - 1:032x}")
+        return a.between(f"{low:032x}", f"{low + (1 << (128 - length)) - 1:032x}")
 
-    return F.coalesce(reduce(lambda x, n: x | within(*n), BLOCKED_V6, F.lit(False)), F.lit(False))
+    return F.coalesce(bound(address6(ip), lambda a: reduce(lambda x, n: x | within(a, *n), BLOCKED_V6, F.lit(False))), F.lit(False))
 
 
 def refusal(url: Column) -> Column:
     """Why an outgoing call may not go to a URL, by what it says itself; null where it may. Names aren't looked up."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     named = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    host = F.regexp_replace(named, r"[\[\]]", "")
-    private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(blocked6(host))
-    return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
+
+    def why(x: Column) -> Column:
+        scheme, host = x["scheme"], x["host"]
+        private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(blocked6(host))
+        return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
+
+    return bound(F.struct(scheme.alias("scheme"), F.regexp_replace(named, r"[\[\]]", "").alias("host")), why)
 
 
 #: A line with a bar, a line with dashes under it, and the lines with bars that follow.

@@ -27,3 +27,9 @@ def test_urls(spark):
     rows = [("http://[0:0::1]/", "address"), ("https://[::0001]:8443/x", "address"), ("https://[2001:db8::1]/x", None), ("https://face:80/x", None)]
     got = spark.createDataFrame(rows, "u string, w string").select("u", "w", markup.refusal(F.col("u")).alias("g")).collect()
     assert all(r.g == r.w for r in got), got
+
+
+def test_parts_of_a_url_are_worked_out_once(spark):
+    """The expression has each part of a URL once, not once for each network and digit."""
+    plan = spark.range(1).select(markup.refusal(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") + plan.count("split(") <= 20 < plan.count("lambda") + 20
