@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import classify, contexts, records, usage
+from foliospark.operators import access, classify, contexts, records, usage
 from foliospark.sources import markup
 
 
@@ -121,3 +121,17 @@ def test_citations_run_by_request(spark):
     rows = [("q", 1, 2, "s"), ("q", 1, 1, "s"), ("q", 2, 1, ""), ("q", 3, 1, None), ("q", 2, 2, "s"), ("r", 1, 1, "s")]
     got = records.cited(spark.createDataFrame(rows, "request string, rank int, criterion_pos int, snippet string"), "request").collect()
     assert sorted((r.request, r.rank, r.criterion_pos, r.number) for r in got) == [("q", 1, 1, 1), ("q", 1, 2, 2), ("q", 2, 2, 3), ("r", 1, 1, 1)]
+
+
+def test_totals_of_visible_documents_equal_their_pairs(spark):
+    rnd = random.Random(5)
+    pick = lambda *x: rnd.choice([*x, None])
+    docs = [(rnd.randrange(60), pick(*range(8)), pick(1, 2, 3, 4), pick(10, 20, 30), pick("private", "team", "team", "org")) for _ in range(90)] + [(None, 1, 1, 10, "team")]
+    users = [(pick(*range(4, 12)), pick(1, 2, 3, 4), pick(10, 20, 30), pick("org_admin", "member"), pick(True, False), pick(True, False)) for _ in range(20)]
+    documents = spark.createDataFrame(docs, "doc_id long, owner long, team_id long, org_id long, visibility string")
+    members = spark.createDataFrame(users, "user_id long, team_id long, org_id long, role string, reads_teams boolean, active boolean")
+    want = access.visible(documents, members).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("checksum"))
+    got = access.visible_totals(documents, members)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") == 3  # users and owners by their key; kinds meet places, not documents
