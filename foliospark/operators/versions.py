@@ -1,6 +1,7 @@
 """Differences between versions of long documents, by anchors.
 
-Versions come as pages, and their words travel as rows. Words that are unique on both sides of a pair, in the longest run
+Versions come as pages. Pairs of at most WHOLE code points travel as one row each, and all of the following is done where
+that row is; words of longer ones travel as rows, with the same result. Words that are unique on both sides of a pair, in the longest run
 that rises on both, are anchors; they cut a pair into segments that are rows of their own, so a pair's words never meet in
 one task. Only places of anchors do, two numbers each. Within a segment the same is done again with what is unique there,
 and the shortest edit script ends it."""
@@ -15,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.session import written
+
+#: Code points of both versions up to which a pair's pages meet as one row; words of longer pairs travel as rows.
+WHOLE = 1 << 17
 #: Edits that the shortest script of a segment without anchors is looked for with; beyond them it is replaced whole.
 EDITS = 400
 RUNS = "segment long, i int, kind string, page_a int, page_b int, n_words long, words string"
@@ -144,12 +149,70 @@ def joined(runs: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
+RUN_COLUMNS = ["key", "segment", "i", "kind", "page_a", "page_b", "n_words", "words"]
+RUN_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+
+
+def runs_of(segment: int, a: list[str], b: list[str], page_a: list[int], page_b: list[int], most: int) -> list[tuple]:
+    """Rows of the runs of one segment, without the key."""
+    out = []
+    for i, (kind, s, e) in enumerate(joined(script(a, b, most))):
+        words, page = (b, page_b[s]) if kind == "added" else (a, page_a[s])
+        out.append((segment, i, kind, None if kind == "added" else page, page if kind == "added" else None, e - s, " ".join(words[s:e])))
+    return out
+
+
+def cut(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the anchors of a whole pair, on both sides."""
+    n, m = Counter(a), Counter(b)
+    where = {w: k for k, w in enumerate(b) if m[w] == 1}
+    return rising([(k, where[w]) for k, w in enumerate(a) if n[w] == 1 and w in where])
+
+
+def whole(pages: DataFrame, most: int) -> DataFrame:
+    """`diff` of short pairs: a row has the pages of both versions."""
+    split = F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.array_join(split, " ").alias("words")
+    own = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("page_num", "words")))).alias(s)
+    pairs = pages.select("key", "side", "page_num", text).filter("words <> ''").groupBy("key").agg(own("a"), own("b"))
+    sides = [f"transform({s}, x -> x.{c}) AS {s}_{c}" for s in "ab" for c in ("words", "page_num")]
+
+    def side(texts: list[str], nums: list[int]) -> tuple[list[str], list[int]]:
+        words = [t.split(" ") for t in texts]
+        return [w for page in words for w in page], [n for n, page in zip(nums, words, strict=True) for _ in page]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, rows = [], []
+            columns = [batch.column(c) for c in ("a_words", "a_page_num", "b_words", "b_page_num")]
+            for r in range(batch.num_rows):
+                (a, page_a), (b, page_b) = side(columns[0][r].as_py(), columns[1][r].as_py()), side(columns[2][r].as_py(), columns[3][r].as_py())
+                at = [(0, 0), *cut(a, b), (len(a), len(b))]
+                for n, ((s, t), (u, v)) in enumerate(zip(at, at[1:], strict=False)):
+                    rows += runs_of(n, a[s:u], b[t:v], page_a[s:u], page_b[t:v], most)
+                take += [r] * (len(rows) - len(take))
+                if len(rows) >= 1 << 16 or r == batch.num_rows - 1:
+                    cols = list(zip(*rows, strict=True)) or [()] * 7
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, RUN_TYPES, strict=True))], RUN_COLUMNS)
+                    take, rows = [], []
+
+    return pairs.selectExpr("key", *sides).mapInArrow(run, f"key {dict(pages.dtypes)['key']}, {RUNS}")
+
+
 def diff(pages: DataFrame, most: int = EDITS) -> DataFrame:
     """key, segment, i, kind, page_a, page_b, n_words, words: runs of words in order of (segment, i); a run of one kind may go
     on in the next segment. page_a and page_b are those on which a run begins, null on the side that lacks it.
 
     pages(key, side, page_num, content) with side a or b; a version without words has no pages here, and a pair without any
     gives no rows. Blanks between words don't count. Empty tables give no rows."""
+    size = pages.groupBy("key").agg(F.sum(F.length("content")).alias("n"))
+    long = written(size.filter(F.col("n") > WHOLE).select("key"), "long")
+    short = whole(pages.join(long, "key", "left_anti"), most)
+    return short if long.isEmpty() else short.unionByName(by_words(pages.join(long, "key", "left_semi"), most))
+
+
+def by_words(pages: DataFrame, most: int) -> DataFrame:
+    """`diff` of pairs of any size: no task holds the words of a pair."""
     every = words(pages)
     order = Window.partitionBy("key", "side").orderBy("place")
     marked = every.join(anchors(every).withColumn("hit", F.lit(1)), ["key", "side", "place"], "left")
@@ -162,14 +225,10 @@ def diff(pages: DataFrame, most: int = EDITS) -> DataFrame:
         for batch in batches:
             take, rows = [], []
             for r, x in enumerate(batch.select(["segment", "a_word", "a_page_num", "b_word", "b_page_num"]).to_pylist()):
-                for i, (kind, s, e) in enumerate(joined(script(x["a_word"], x["b_word"], most))):
-                    side = "b" if kind == "added" else "a"
-                    page = x[f"{side}_page_num"][s]
-                    take.append(r)
-                    rows.append((x["segment"], i, kind, page if side == "a" else None, page if side == "b" else None, e - s, " ".join(x[f"{side}_word"][s:e])))
+                rows += runs_of(x["segment"], x["a_word"], x["b_word"], x["a_page_num"], x["b_page_num"], most)
+                take += [r] * (len(rows) - len(take))
             cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", "segment", "i", "kind", "page_a", "page_b", "n_words", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, RUN_TYPES, strict=True))], RUN_COLUMNS)
 
     return segments.selectExpr("key", "segment", *sides).mapInArrow(run, f"key {dict(pages.dtypes)['key']}, {RUNS}")
 

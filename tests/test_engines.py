@@ -191,6 +191,21 @@ def test_versions_of_pages(spark):
     assert versions.diff(spark.createDataFrame([], "key long, side string, page_num int, content string")).count() == 0
 
 
+def test_short_pairs_as_one_row_give_the_runs_of_long_ones(spark, monkeypatch):
+    rnd = random.Random(9)
+    page = lambda: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(rnd.randint(0, 30)))
+    rows = [(k, s, p, page()) for k in range(25) for s in "ab" for p in range(1, rnd.randint(1, 4))]
+    pages = spark.createDataFrame([*rows, (99, "a", 1, "  "), (98, "b", 1, "x y"), (97, "a", 1, None)], "key long, side string, page_num int, content string")
+    columns = ["key", "segment", "i", "kind", "page_a", "page_b", "n_words", "words"]
+    want = sorted(map(tuple, versions.by_words(pages, versions.EDITS).select(columns).collect()), key=str)
+    for most in (versions.WHOLE, 150, 0):
+        monkeypatch.setattr(versions, "WHOLE", most)
+        assert sorted(map(tuple, versions.diff(pages).select(columns).collect()), key=str) == want
+    monkeypatch.undo()
+    plan = versions.diff(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1  # pages meet once
+
+
 def test_versions_of_long_texts_in_segments(spark):
     rnd = random.Random(7)
     a = [rnd.choice(["x", "y", f"w{i}"]) for i in range(6000)]
