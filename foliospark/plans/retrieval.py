@@ -92,11 +92,10 @@ s AS (SELECT qid, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT qid, vec_id, score, place FROM r WHERE place <= 10""")
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
-    v = load(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
-    s = v.join(retrieval.small(q), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(retrieval.cosine(F.col("a"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("place", F.row_number().over(w)).filter("place <= 10").withColumn("place", F.col("place").cast("long"))
+    v = load(spark, d, "embeddings")
+    q = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"))
+    s = fusion.neighbours(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), q, 10, 6)
+    return s.select("qid", F.col("chunk_id").alias("vec_id"), "score", F.col("place").cast("long").alias("place"))
 
 
 VARIANTS = f"""{SCORES}, v AS (

@@ -93,6 +93,22 @@ def test_counts_for_all_queries_of_a_block(size):
     assert got.tolist() == want
 
 
+def test_neighbours_equal_all_pairs(spark, monkeypatch):
+    chunks, asked = corpus(spark, 9, n=90, q=6)
+    score = retrieval.F.round(retrieval.cosine(retrieval.F.col("qvector"), retrieval.F.col("vector")), 6)
+    every = chunks.join(asked, chunks["chunk_id"] != asked["qid"]).select("qid", "chunk_id", score.alias("score")).collect()
+    want = {}
+    for q, c, s in sorted(every, key=lambda r: (r[0], -r[2], r[1])):
+        want.setdefault(q, []).append((q, c, s, len(want.get(q, [])) + 1))
+    for asked_, scored in ((512, 1 << 20), (2, 7)):
+        monkeypatch.setattr(fusion, "ASKED", asked_)
+        monkeypatch.setattr(fusion, "SCORED", scored)
+        got = fusion.neighbours(chunks, asked, 10, 6)
+        assert listed(got, "qid", "chunk_id", "score", "place") == sorted(r for rows in want.values() for r in rows[:10])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert fusion.neighbours(chunks, asked.limit(0), 10, 6).count() == 0 == fusion.neighbours(chunks.limit(0), asked, 10, 6).count()
+
+
 # --- places
 
 
