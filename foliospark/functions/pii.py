@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import let
+
 # Patterns in the order in which they claim text.
 PATTERNS = [
     ("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"),
@@ -23,12 +23,13 @@ def numbered(kind: str):  # noqa: ANN201
 
 def matches(text: Column) -> Column:
     """array of (kind, n, value): each pattern sees what the ones before it left."""
-    rest, found = text, []
-    for kind, pattern in PATTERNS:
-        values = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        found.append(F.transform(values, numbered(kind)))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return reduce(F.concat, found)
+
+    def found(rest: Column, kinds: list[tuple[str, str]]) -> Column:
+        (kind, pattern), *others = kinds
+        own = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), numbered(kind))
+        return F.concat(own, let(F.regexp_replace(rest, pattern, " "), lambda r: found(r, others))) if others else own
+
+    return found(text, list(PATTERNS))
 
 
 def mapping(text: Column, user: Column) -> Column:

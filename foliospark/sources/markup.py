@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import let
 from foliospark.functions.strings import stripped
 
 # Elements that go with all that is in them.
@@ -66,15 +66,10 @@ def upload_error(ext: Column, head: Column, size: Column) -> Column:
     return F.when(~ext.isin(list(MAGIC)), "extension").when(size <= 0, "empty").when(size > LARGEST, "too large").when(~able, "content")
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), where x is worked out once however often f names it: Spark would write it out in each place."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def address(ip: Column) -> Column:
     """A dotted IPv4 address as a number; null if it isn't one."""
     value = lambda parts: reduce(lambda a, i: a * 256 + F.get(parts, F.lit(i)).try_cast("long"), range(1, 4), F.get(parts, F.lit(0)).try_cast("long"))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), bound(F.split(ip, r"\."), value))
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), let(F.split(ip, r"\."), value))
 
 
 def network(first: str, length: int) -> tuple[int, int]:
@@ -84,7 +79,7 @@ def network(first: str, length: int) -> tuple[int, int]:
 
 
 def blocked(ip: Column) -> Column:
-    return bound(address(ip), lambda a: reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False)))
+    return let(address(ip), lambda a: reduce(lambda x, n: x | a.between(*network(*n)), BLOCKED, F.lit(False)))
 
 
 def address6(ip: Column) -> Column:
@@ -92,7 +87,7 @@ def address6(ip: Column) -> Column:
     def text(plain: Column) -> Column:
         head = F.regexp_extract(plain, r"^(.*:)[^:]*$", 1)
         dotted = lambda last: F.concat(head, F.lower(F.hex(F.shiftright(last, 16))), F.lit(":"), F.lower(F.hex(last.bitwiseAND(F.lit(65535)))))
-        return F.coalesce(bound(address(F.regexp_extract(plain, r"([^:]*)$", 1)), dotted), plain)
+        return F.coalesce(let(address(F.regexp_extract(plain, r"([^:]*)$", 1)), dotted), plain)
 
     def groups(sides: Column, n: int) -> Column:
         return F.when(F.coalesce(F.get(sides, F.lit(n)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(n)), ":"))
@@ -107,7 +102,7 @@ def address6(ip: Column) -> Column:
 
     sides = lambda s: F.struct(F.size(s).alias("n"), groups(s, 0).alias("head"), groups(s, 1).alias("tail"))
     plain = F.regexp_replace(F.lower(ip), "%.*$", "")
-    return bound(bound(bound(F.split(bound(plain, text), "::"), sides), filled), digits)
+    return let(let(let(F.split(let(plain, text), "::"), sides), filled), digits)
 
 
 def blocked6(ip: Column) -> Column:
@@ -115,7 +110,7 @@ def blocked6(ip: Column) -> Column:
         low = int(ipaddress.IPv6Address(first))
         return a.between(f"{low:032x}", f"{low + (1 << (128 - length)) - 1:032x}")
 
-    return F.coalesce(bound(address6(ip), lambda a: reduce(lambda x, n: x | within(a, *n), BLOCKED_V6, F.lit(False))), F.lit(False))
+    return F.coalesce(let(address6(ip), lambda a: reduce(lambda x, n: x | within(a, *n), BLOCKED_V6, F.lit(False))), F.lit(False))
 
 
 def refusal(url: Column) -> Column:
@@ -128,7 +123,7 @@ def refusal(url: Column) -> Column:
         private = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), blocked(host)).otherwise(blocked6(host))
         return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(host.isin(BLOCKED_HOSTS), "host name").when(private, "address")
 
-    return bound(F.struct(scheme.alias("scheme"), F.regexp_replace(named, r"[\[\]]", "").alias("host")), why)
+    return let(F.struct(scheme.alias("scheme"), F.regexp_replace(named, r"[\[\]]", "").alias("host")), why)
 
 
 #: A line with a bar, a line with dashes under it, and the lines with bars that follow.
