@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,13 +47,14 @@ MARKUP = [
 INVISIBLE = "​‌‍⁠﻿"
 #: White space of any script, as a class of a pattern.
 SPACE = r"\t-\r\x1c- \x85\xa0  -     　"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 #: Longest text that a trace keeps.
 TRACE_LIMIT = 4000
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any script at both ends; in time proportional to the text, whatever runs of it are inside."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    """Without white space of any script at both ends, which alone are looked at."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def cleaned(text: Column) -> Column:
@@ -61,8 +63,7 @@ def cleaned(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = stripped(text)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"[{SPACE}]++")))
+    return let(stripped(text), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, f"[{SPACE}]++"))))
 
 
 def visible(text: Column) -> Column:
@@ -109,5 +110,7 @@ def field_name(name: Column) -> Column:
 
 def collapsed(text: Column, most: int = 60, shown: int = 12) -> Column:
     """A long unchanged run as its first words and the number of words."""
-    w = F.split(stripped(text), f"[{SPACE}]++")
-    return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, shown), " "), F.lit(" ... "), F.size(w).cast("string"), F.lit(" words unchanged"))).otherwise(text)
+    def shown_of(w: Column) -> Column:
+        return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, shown), " "), F.lit(" ... "), F.size(w).cast("string"), F.lit(" words unchanged"))).otherwise(text)
+
+    return let(F.split(stripped(text), f"[{SPACE}]++"), shown_of)

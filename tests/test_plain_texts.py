@@ -47,3 +47,16 @@ def test_names_of_any_script(spark):
     names = ["Überblick 2024", " a/b.c ", "名前-1", "__x__", "...", "", "½_²"]
     safe = lambda n: "".join(c if c.isalnum() or c in "-_" else "_" for c in n.strip()).strip("_") or "table"
     assert [g for (g,) in results(spark, names, strings.safe_name(F.col("t")))] == [safe(n) for n in names]
+
+
+def test_texts_are_stripped_and_split_once(spark):
+    for made in (strings.collapsed, strings.word_count):
+        plan = spark.range(1).select(made(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(") == 1 and plan.lower().count("trim(") == 1 and "regexp_replace" not in plan
+
+
+def test_long_runs_of_any_white_space(spark):
+    words = [f"w{i}" for i in range(61)]
+    texts = [" " + " \n".join(words) + "　", " ".join(words[:60]) + " ", None]
+    want = [(" ".join(words[:12]) + " ... 61 words unchanged",), (texts[1],), (None,)]
+    assert results(spark, texts, strings.collapsed(F.col("t"))) == want
