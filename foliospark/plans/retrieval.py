@@ -84,7 +84,7 @@ def search_in_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT qid, chunk_id, sparse FROM sparse")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(chunks(spark, d), asked(spark, d)).select("qid", "chunk_id", "sparse")
+    return fusion.term_scores(chunks(spark, d), asked(spark, d))
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0),

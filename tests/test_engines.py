@@ -33,6 +33,18 @@ def test_pool_equals_full_ranks(spark, seed, pool):
     assert listed(fusion.searched(chunks, asked, pool), *columns) == listed(retrieval.hybrid(chunks, asked, pool), *columns)
 
 
+def test_term_scores_equal_the_join(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "SCORED", 7)
+    monkeypatch.setattr(fusion, "HELD", 2)
+    chunks, asked = corpus(spark, 8, n=200, q=5)
+    done = fusion.term_scores(chunks.drop("vector"), asked)
+    columns = ("qid", "chunk_id", "sparse")
+    assert listed(done, *columns) == listed(retrieval.bm25(chunks, asked), *columns) != []
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert fusion.term_scores(chunks, asked.filter("qid < 0")).collect() == []
+
+
 def test_pool_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(fusion, "CELLS", 2 * fusion.depth(2) + 1)
     monkeypatch.setattr(fusion, "SCORED", 7)
