@@ -28,8 +28,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 def parsed(text: Column, formats: list[tuple[str, str]] = RULE_FORMATS) -> Column:
     """The first format that fits, as a date; null if none does."""
-    s = F.initcap(F.trim(text))
-    return F.coalesce(*(F.when(s.rlike(f"^{p}$"), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for p, f in formats))
+    return once(F.initcap(F.trim(text)), lambda s: F.coalesce(*(F.when(s.rlike(f"^{p}$"), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for p, f in formats)))
 
 
 def month_year(text: Column) -> Column:

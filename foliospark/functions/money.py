@@ -7,17 +7,22 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.entities import let
+
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 # What the rules' cleaner takes out, in this order.
 RULE_MARKS = [",", "₹", "Rs.", "Rs", "$", "€", "£", "INR", "USD", "EUR"]
 
 
 def number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return let(text, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def rule_amount(text: Column) -> Column:
-    return number(F.trim(reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("")), RULE_MARKS, text)))
+    def cleaned(t: Column) -> Column:
+        return number(F.trim(reduce(lambda x, m: F.replace(x, F.lit(m), F.lit("")), RULE_MARKS, t)))
+
+    return let(text, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")).otherwise(cleaned(t)))  # numbers have no marks
 
 
 def score_amount(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, money
+from foliospark.functions.dates import once
 
 # Words of a field name by type, in the order in which types are tried.
 FIELD_TYPES = [
@@ -56,15 +57,22 @@ def well_formed(value: Column, kind: Column | str) -> Column:
 
 
 def confidence(value: Column, kind: Column | str) -> Column:
-    v = F.trim(value)
-    words = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
-    text = F.when(words >= 2, 0.85).when((words == 1) & (F.length(v) > 2), 0.7).otherwise(0.5)
-    fits = well_formed(v, kind)
-    return F.when(value.isNull() | F.lower(v).isin(SCORE_MISSING), 0.0).when(fits.isNotNull(), F.when(fits, 0.95).otherwise(0.4)).otherwise(text)
+    def scored(v: Column) -> Column:
+        words = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
+        text = once(words, lambda n: F.when(n >= 2, 0.85).when((n == 1) & (F.length(v) > 2), 0.7).otherwise(0.5))
+        fits = once(well_formed(v, kind), lambda x: F.when(x.isNull(), text).when(x, 0.95).otherwise(0.4))
+        typed = text if isinstance(kind, str) and kind not in FORMS else fits
+        return F.when(F.lower(v).isin(SCORE_MISSING), 0.0).otherwise(typed)
+
+    return F.when(value.isNull(), 0.0).otherwise(once(F.trim(value), scored))
+
+
+def found(score: Column) -> Column:
+    return score >= 0.85
 
 
 def status(score: Column) -> Column:
-    return F.when(score >= 0.85, "FOUND").when(score >= 0.4, "LOW_CONFIDENCE").otherwise("NOT_FOUND")
+    return F.when(found(score), "FOUND").when(score >= 0.4, "LOW_CONFIDENCE").otherwise("NOT_FOUND")
 
 
 def colour(label: Column) -> Column:
@@ -94,17 +102,16 @@ def overall(fields: Column) -> list[Column]:
     """Of an array of scored fields: the mean score, its status, and how many were found."""
     n = F.size(fields)
     mean = F.when(n > 0, F.bround(F.aggregate(fields, F.lit(0.0), lambda a, f: a + f["confidence"]) / n, 2)).otherwise(0.0)
-    found = F.size(F.filter(fields, lambda f: f["status"] == "FOUND"))
-    return [mean.alias("overall_confidence"), status(mean).alias("overall_status"), found.cast("long").alias("found_count"), n.alias("total_count")]
+    some = F.size(F.filter(fields, lambda f: f["status"] == "FOUND"))
+    return [mean.alias("overall_confidence"), status(mean).alias("overall_status"), some.cast("long").alias("found_count"), n.alias("total_count")]
 
 
 def result(field: str, code: str, state: Column, severity: str = "ERROR", blocking: bool = True) -> Column:
     """One result; a null state means that the rule doesn't apply, and is dropped by `rules`."""
-    failed = state == "FAIL"
-    return F.struct(
-        F.lit(field).alias("field"), F.lit(code).alias("rule_code"), state.alias("status"),
-        F.when(failed, severity).when(state == "WARNING", "WARNING").otherwise("INFO").alias("severity"), (failed & F.lit(blocking)).alias("blocking"),
-    )
+    return once(state, lambda s: F.struct(
+        F.lit(field).alias("field"), F.lit(code).alias("rule_code"), s.alias("status"),
+        F.when(s == "FAIL", severity).when(s == "WARNING", "WARNING").otherwise("INFO").alias("severity"), ((s == "FAIL") & F.lit(blocking)).alias("blocking"),
+    ))
 
 
 def passed(ok: Column) -> Column:
@@ -114,30 +121,32 @@ def passed(ok: Column) -> Column:
 def sum_rule(items: Column, total: Column, field: str, blocking: bool = True) -> Column:
     """Parsed item amounts add up to the total; nothing to say without any."""
     known = F.filter(F.transform(items, money.rule_amount), lambda x: x.isNotNull())
-    added = F.aggregate(known, F.lit(0.0), lambda a, b: a + b)
-    t = money.rule_amount(total)
-    return result(field, "VAL_101", F.when((F.size(known) > 0) & t.isNotNull(), passed(F.abs(added - t) <= TOLERANCE)), blocking=blocking)
+    added = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    state = lambda p: F.when((F.size(p["k"]) > 0) & p["t"].isNotNull(), passed(F.abs(added(p["k"]) - p["t"]) <= TOLERANCE))
+    return result(field, "VAL_101", once(F.struct(known.alias("k"), money.rule_amount(total).alias("t")), state), blocking=blocking)
 
 
 def total_rule(subtotal: Column, tax: Column, total: Column) -> Column:
-    s, x, t = map(money.rule_amount, (subtotal, tax, total))
-    return result("total_amount", "VAL_102", F.when(s.isNotNull() & x.isNotNull() & t.isNotNull(), passed(F.abs(s + x - t) <= TOLERANCE)))
+    state = lambda a: F.when(a[0].isNotNull() & a[1].isNotNull() & a[2].isNotNull(), passed(F.abs(a[0] + a[1] - a[2]) <= TOLERANCE))
+    return result("total_amount", "VAL_102", once(F.array(*map(money.rule_amount, (subtotal, tax, total))), state))
 
 
 def gst_rule(cgst: Column, sgst: Column, igst: Column, total: Column) -> Column:
-    c, s, i, t = map(money.rule_amount, (cgst, sgst, igst, total))
-    parts = F.coalesce(c, F.lit(0.0)) + F.coalesce(s, F.lit(0.0)) + F.coalesce(i, F.lit(0.0))
-    return result("total_tax", "VAL_103", F.when(t.isNotNull() & (c.isNotNull() | i.isNotNull()), passed(F.abs(parts - t) <= TOLERANCE)), "WARNING", False)
+    def state(a: Column) -> Column:
+        parts = F.coalesce(a[0], F.lit(0.0)) + F.coalesce(a[1], F.lit(0.0)) + F.coalesce(a[2], F.lit(0.0))
+        return F.when(a[3].isNotNull() & (a[0].isNotNull() | a[2].isNotNull()), passed(F.abs(parts - a[3]) <= TOLERANCE))
+
+    return result("total_tax", "VAL_103", once(F.array(*map(money.rule_amount, (cgst, sgst, igst, total))), state), "WARNING", False)
 
 
 def positive_rule(value: Column, field: str, blocking: bool = True) -> Column:
-    v = money.rule_amount(value)
-    return result(field, "VAL_104", F.when(value.isNull(), None).when(v.isNull(), "WARNING").otherwise(passed(v > 0)), blocking=blocking)
+    state = once(money.rule_amount(value), lambda v: F.when(v.isNull(), "WARNING").otherwise(passed(v > 0)))
+    return result(field, "VAL_104", F.when(value.isNotNull(), state), blocking=blocking)
 
 
 def order_rule(start: Column, end: Column, field: str, blocking: bool = True) -> Column:
-    s, e = dates.parsed(start), dates.parsed(end)
-    return result(field, "VAL_201", F.when(start.isNull() | end.isNull(), None).when(s.isNull() | e.isNull(), "WARNING").otherwise(passed(s < e)), blocking=blocking)
+    state = once(F.array(dates.parsed(start), dates.parsed(end)), lambda d: F.when(d[0].isNull() | d[1].isNull(), "WARNING").otherwise(passed(d[0] < d[1])))
+    return result(field, "VAL_201", F.when(start.isNotNull() & end.isNotNull(), state), blocking=blocking)
 
 
 def conditional_rule(condition: Column, wanted: str, needed: Column, field: str, blocking: bool = True) -> Column:
@@ -150,8 +159,8 @@ def regex_rule(value: Column, pattern: str, field: str, blocking: bool = True) -
 
 
 def past_rule(value: Column, as_of: Column, field: str) -> Column:
-    d = dates.parsed(value)
-    return result(field, "VAL_204", F.when(value.isNull(), None).when(d.isNull(), "WARNING").otherwise(passed(d <= as_of)), "WARNING", False)
+    state = once(dates.parsed(value), lambda d: F.when(d.isNull(), "WARNING").otherwise(passed(d <= as_of)))
+    return result(field, "VAL_204", F.when(value.isNotNull(), state), "WARNING", False)
 
 
 def present(value: Column) -> Column:

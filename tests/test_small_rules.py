@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import pii
-from foliospark.operators import access, classify, contexts, records, usage
+from foliospark.operators import access, classify, contexts, dynamic, records, usage, validate
 from foliospark.sources import markup
 
 
@@ -142,3 +142,21 @@ def test_personal_data_is_cut_out_once_for_each_kind(spark):
     """Each pattern but the last replaces once; what it left is not worked out anew for those after it."""
     plan = spark.range(1).select(pii.matches(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == len(pii.PATTERNS) - 1
+
+
+def analyzed(spark, column):
+    return spark.range(1).select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_rules_work_out_their_values_once(spark):
+    s, n = F.col("id").cast("string"), len(validate.money.RULE_MARKS)
+    assert analyzed(spark, validate.positive_rule(s, "f")).count("replace(") == n
+    assert analyzed(spark, validate.sum_rule(F.array(s), s, "f")).count("replace(") == 2 * n
+    plan = analyzed(spark, validate.order_rule(s, s, "f"))
+    assert plan.count("initcap(") == 2 and plan.count("try_to_timestamp(") == 2 * len(validate.dates.RULE_FORMATS)
+
+
+def test_scores_work_out_their_values_once(spark):
+    s = F.col("id").cast("string")
+    assert analyzed(spark, validate.confidence(s, "date")).count("initcap(") == 1
+    assert analyzed(spark, validate.confidence(s, "text")).count("split(") == 1
