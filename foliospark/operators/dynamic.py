@@ -129,6 +129,11 @@ def scores(df: DataFrame, record: str) -> Column:
     return F.transform(once(F.col(record), scored), labelled)
 
 
+def found_count(record: Column, kind: T.StructType) -> Column:
+    """How many fields of a record are found: as `validate.overall` counts them in `scores`, which aren't made for it."""
+    return reduce(lambda a, b: a + b, (F.when(v.found(confidence(record[f.name], f.dataType, f.name)), 1).otherwise(0) for f in _own(kind))).cast("long")
+
+
 def pairs(kind: T.StructType) -> dict[str, dict]:
     """List fields whose items have a start and an end by their names: field to names of start, end and duration."""
     names = {T.StringType: "string", T.DateType: "date", T.LongType: "integer", T.IntegerType: "integer", T.DoubleType: "number"}

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import dynamic
-from foliospark.operators import validate as v
+from foliospark.operators import dynamic, reshape
 from foliospark.plans.registry import query
 from foliospark.session import load
 
@@ -77,7 +76,8 @@ SELECT o_orderkey, template, CASE WHEN template <> 'invoice' THEN 0 ELSE 2 + CAS
 def template_scores(spark: SparkSession, d: str) -> DataFrame:
     """How much of each template a record fills, whichever it was made for."""
     df = texts(spark, d)
-    for t in dynamic.TEMPLATES:
-        df = df.withColumn(t, dynamic.parsed(F.col("record"), dynamic.template(t)))
-    counts = [F.struct(F.lit(t).alias("template"), *v.overall(dynamic.scores(df, t))[2:]) for t in dynamic.TEMPLATES]
+    fields = {f["name"]: f for t in dynamic.TEMPLATES for f in dynamic.template(t)}  # a name has one type in all templates
+    df = df.select("o_orderkey", dynamic.parsed(F.col("record"), list(fields.values())).alias("record"))
+    kinds = {t: reshape.schema(dynamic.template(t)) for t in dynamic.TEMPLATES}
+    counts = [F.struct(F.lit(t).alias("template"), dynamic.found_count(F.col("record"), kind).alias("found_count"), F.lit(len(kind)).alias("total_count")) for t, kind in kinds.items()]
     return df.select("o_orderkey", F.explode(F.array(*counts)).alias("t")).select("o_orderkey", "t.template", "t.found_count", "t.total_count")

@@ -160,3 +160,10 @@ def test_scores_work_out_their_values_once(spark):
     s = F.col("id").cast("string")
     assert analyzed(spark, validate.confidence(s, "date")).count("initcap(") == 1
     assert analyzed(spark, validate.confidence(s, "text")).count("split(") == 1
+
+
+def test_found_fields_without_scores(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(['{"full_name": "A B", "email": "a@b.org", "skills": ["x"]}', '{"email": "x", "skills": [], "phone": null}', "[1", None, '{"skills": "x", "email": "a@b.org"}'])], "i int, t string")
+    df = rows.select("i", dynamic.parsed(F.col("t"), dynamic.template("cv_resume")).alias("r"))
+    both = df.select(validate.overall(dynamic.scores(df, "r"))[2], dynamic.found_count(F.col("r"), df.schema["r"].dataType).alias("n")).collect()
+    assert [r.n for r in both] == [r.found_count for r in both] and max(r.n for r in both) == 3
