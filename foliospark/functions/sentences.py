@@ -9,7 +9,7 @@ from foliospark.functions.dates import once
 from foliospark.operators.chunk import CHILD, OVERLAP, PARENT, SIZE
 from foliospark.sources.content import SPACE, trimmed
 
-STATE = "struct<first:int,held:array<int>,fresh:boolean,out:array<struct<first:int,n:int>>>"
+STATE = "struct<first:int,held:array<int>,sum:int,fresh:boolean,out:array<struct<first:int,n:int>>>"
 
 
 def words(text: Column) -> Column:
@@ -36,14 +36,13 @@ def pieces(text: Column, size: int, unit: str) -> Column:
 def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, unit: str = "token") -> Column:
     """Array of texts: runs of pieces of at most `size`; a run starts with the last pieces of the one before, up to `overlap`.
 
-    The fold's state is the open run's first piece and the sizes of its pieces, whose number `size` bounds, and the runs that
-    are done as first piece and number. Null gives null, a text without sentences an empty array.
+    The fold's state is the open run's first piece, the sizes of its pieces, whose number `size` bounds, and their sum, and the
+    runs that are done as first piece and number. Null gives null, a text without sentences an empty array.
     """
     gap = 0 if unit == "token" else 1
-    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, m: a + m + gap)
 
     def tail(held: Column, m: Column) -> Column:
-        """The longest end of an open run that the next one may start with."""
+        """n and sum of the longest end of an open run that the next one may start with."""
         most = F.least(F.lit(overlap + gap), size - m)
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("fits"))
 
@@ -51,19 +50,24 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, unit: str = "
             fits = a["fits"] & (a["sum"] + x + gap <= most)
             return F.struct(F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(fits, a["sum"] + x + gap).otherwise(a["sum"]).alias("sum"), fits.alias("fits"))
 
-        return F.aggregate(F.reverse(held), start, more, lambda a: a["n"])
+        return F.aggregate(F.reverse(held), start, more)
 
     def closed(s: Column, m: Column) -> Column:
         done = F.array_append(s["out"], F.struct(s["first"].alias("first"), F.size(s["held"]).alias("n")))
         count = F.size(s["held"])
-        return once(tail(s["held"], m), lambda n: F.struct((s["first"] + count - n).alias("first"), F.array_append(F.slice(s["held"], count - n + 1, n), m).alias("held"), F.lit(True).alias("fresh"), done.alias("out")))
+
+        def begun(t: Column) -> Column:
+            kept = F.slice(s["held"], count - t["n"] + 1, t["n"])
+            return F.struct((s["first"] + count - t["n"]).alias("first"), F.array_append(kept, m).alias("held"), (t["sum"] + m + gap).alias("sum"), F.lit(True).alias("fresh"), done.alias("out"))
+
+        return once(tail(s["held"], m), begun)
 
     def step(s: Column, p: Column) -> Column:
         m = p["m"]
-        opened = F.struct(s["first"].alias("first"), F.array_append(s["held"], m).alias("held"), F.lit(True).alias("fresh"), s["out"].alias("out"))
-        return F.when(s["fresh"] & (total(s["held"]) + m > size), closed(s, m).cast(STATE)).otherwise(opened.cast(STATE))
+        opened = F.struct(s["first"].alias("first"), F.array_append(s["held"], m).alias("held"), (s["sum"] + m + gap).alias("sum"), F.lit(True).alias("fresh"), s["out"].alias("out"))
+        return F.when(s["fresh"] & (s["sum"] + m > size), closed(s, m).cast(STATE)).otherwise(opened.cast(STATE))
 
-    begin = F.struct(F.lit(0).alias("first"), F.array().cast("array<int>").alias("held"), F.lit(False).alias("fresh"), F.array().cast("array<struct<first:int,n:int>>").alias("out")).cast(STATE)
+    begin = F.struct(F.lit(0).alias("first"), F.array().cast("array<int>").alias("held"), F.lit(0).alias("sum"), F.lit(False).alias("fresh"), F.array().cast("array<struct<first:int,n:int>>").alias("out")).cast(STATE)
     last = lambda s: F.when(s["fresh"], F.array_append(s["out"], F.struct(s["first"].alias("first"), F.size(s["held"]).alias("n")))).otherwise(s["out"])
 
     def joined(p: Column) -> Column:

@@ -35,18 +35,19 @@ def pieces(text: str, size: int, unit: str) -> list[str]:
 def split(text: str, size: int = SIZE, overlap: int = OVERLAP, unit: str = "token") -> list[str]:
     """Runs of sentences of at most `size`; a run starts with the last sentences of the one before, up to `overlap`."""
     out: list[str] = []
-    held: list[str] = []
-    fresh = False
-    for s in pieces(text, size, unit):
-        if fresh and measured(" ".join([*held, s]), unit) > size:
-            out.append(" ".join(held))
-            tail: list[str] = []
-            while held and measured(" ".join([held[-1], *tail]), unit) <= overlap and measured(" ".join([held[-1], *tail, s]), unit) <= size:
-                tail.insert(0, held.pop())
-            held, fresh = tail, False
-        held.append(s)
-        fresh = True
-    return [*out, " ".join(held)] if fresh else out
+    parts = pieces(text, size, unit)
+    gap = 0 if unit == "token" else 1  # pieces are joined by a blank
+    sizes = [measured(s, unit) + gap for s in parts]
+    first, held = 0, 0  # where the open run starts, and its size with a gap behind each piece
+    for i, m in enumerate(sizes):
+        if i and held + m - gap > size:
+            out.append(" ".join(parts[first:i]))
+            first, held = i, 0
+            while first and held + sizes[first - 1] - gap <= overlap and held + sizes[first - 1] + m - gap <= size:
+                first -= 1
+                held += sizes[first]
+        held += m
+    return [*out, " ".join(parts[first:])] if parts else out
 
 
 def hierarchy(text: str, parent: int = PARENT, child: int = CHILD, unit: str = "token") -> list[tuple[str, list[str]]]:

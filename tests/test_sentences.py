@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions.sentences import chunks, family
+from foliospark.operators import chunk
 from foliospark.operators.chunk import hierarchy, split
 from foliospark.session import load
 
@@ -34,3 +35,15 @@ def test_parents(spark, sf_dir, parent, child):
     rows = load(spark, sf_dir, "documents").select("text", family(F.col("text"), parent, child).alias("f")).collect()
     for r in rows:
         assert [tuple(x) for x in r.f] == hierarchy(r.text, parent, child)
+
+
+def test_sizes_are_added_up(spark, monkeypatch):
+    """A piece is measured a fixed number of times, not again with each that follows in its run."""
+    plan = spark.range(1).select(chunks(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 2  # the fold over pieces, and the tail of a run that is closed
+    seen = []
+    whole = chunk.measured
+    monkeypatch.setattr(chunk, "measured", lambda t, unit: seen.append(len(t)) or whole(t, unit))
+    text = "\n".join(["some words"] * 3000)
+    assert len(split(text)) > 1
+    assert sum(seen) <= 3 * len(text)
