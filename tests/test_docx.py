@@ -4,6 +4,7 @@ import io
 import os
 import zipfile
 
+import numpy as np
 import pytest
 from compare import database, same
 
@@ -109,3 +110,13 @@ def test_same_as_sql_on_documents(spark, sf_dir):
     con = database(sf_dir)
     assert same(QUERIES["word_pages"](spark, sf_dir), con, SQL["word_pages"]) > 0
     assert same(QUERIES["word_tables"](spark, sf_dir), con, SQL["word_tables"]) > 0
+
+
+def test_small_files_leave_together():
+    small, large = 1000, 5 * docx.TOGETHER
+    sizes = np.array([small] * 2000 + [large, large] + [0] * 5 + [small])
+    runs = list(docx._runs(sizes))
+    assert [i for start, end in runs for i in range(start, end)] == list(range(len(sizes)))
+    assert all(start < end and sizes[start + 1 : end].sum() < docx.TOGETHER for start, end in runs)
+    assert len(runs) < 20
+    assert list(docx._runs(np.array([], np.int64))) == []
