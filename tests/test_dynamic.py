@@ -121,3 +121,9 @@ def test_shapes():
     assert dynamic.pairs(reshape.schema(SPEC)) == {"past_jobs": {"start": "start_year", "end": "end_year", "duration": "total_time"}}
     assert {t: len(dynamic.template(t)) for t in dynamic.TEMPLATES}["cv_resume"] == 12 and len(dynamic.TEMPLATES) == 9
     assert [v.named_type(n) for n in ("work_email", "candidate_name", "total_time", "linkedin", "", "skills")] == ["email", "text", "amount", "url", "text", "list"]
+
+
+def test_scores_read_a_date_once(spark):
+    df = spark.createDataFrame([("2024-01-02",)], "d string").select(F.struct(F.col("d").alias("issue_date")).alias("r"))
+    plan = df.select(dynamic.scores(df, "r").alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("initcap(") == 1
