@@ -20,7 +20,8 @@ RULE_FORMATS = [
     (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
     (r"\d{4}", "yyyy"),
 ]
-TAX_FORMATS = [(r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"), (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"), (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy")]
+ISO = RULE_FORMATS[0]
+TAX_FORMATS = [ISO, (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"), (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy")]
 LOOSE_FORMATS = [*RULE_FORMATS[:6], (r"\d{4}-\d{1,2}", "yyyy-M"), (r"\d{1,2}/\d{4}", "M/yyyy"), (r"[A-Za-z]+ \d{4}", "MMMM yyyy"), (r"\d{4}", "yyyy")]
 CHECK_FORMATS = [*RULE_FORMATS[:6], RULE_FORMATS[9]]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -28,6 +29,15 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 def parsed(text: Column, formats: list[tuple[str, str]] = RULE_FORMATS) -> Column:
     """The first format that fits, as a date; null if none does."""
+    return F.coalesce(iso(F.trim(text)), any_of(text, formats)) if ISO in formats else any_of(text, formats)
+
+
+def iso(text: Column) -> Column:
+    """yyyy-M-d by a cast: what its format gives, without a formatter and the case of letters."""
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\z"), text.try_cast("date"))
+
+
+def any_of(text: Column, formats: list[tuple[str, str]]) -> Column:
     return once(F.initcap(F.trim(text)), lambda s: F.coalesce(*(F.when(s.rlike(f"^{p}$"), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for p, f in formats)))
 
 
@@ -41,7 +51,8 @@ def month_year(text: Column) -> Column:
 
 
 def loose(text: Column) -> Column:
-    return F.coalesce(month_year(text), parsed(text, LOOSE_FORMATS), parsed(F.translate(text, "'’", "  "), LOOSE_FORMATS))
+    rest = (month_year(text), any_of(text, LOOSE_FORMATS), parsed(F.translate(text, "'’", "  "), LOOSE_FORMATS))
+    return F.coalesce(iso(F.trim(text)), *rest)
 
 
 def months(start: Column, end: Column) -> Column:
@@ -50,8 +61,9 @@ def months(start: Column, end: Column) -> Column:
 
 
 def once(value: Column, body) -> Column:  # noqa: ANN001
-    """body(value), with value worked out once for a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with value worked out once for a row: what a fold over no items starts from, and ends with. Unlike an item
+    of a list, it isn't copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def duration(start: Column, end: Column, as_of: Column) -> Column:

@@ -118,15 +118,14 @@ def scores(df: DataFrame, record: str) -> Column:
     record scores 0 in every field."""
     kind = _kind(df, record)
 
-    def scored(r: Column) -> Column:
-        each = (F.struct(F.lit(f.name).alias("field"), F.lit(v.named_type(f.name)).alias("field_type"), confidence(r[f.name], f.dataType, f.name).alias("confidence")) for f in _own(kind))
-        return F.array(*each)
+    def scored(f: T.StructField) -> Column:
+        def labelled(score: Column) -> Column:
+            label = v.status(score)
+            return F.struct(F.lit(f.name).alias("field"), F.lit(v.named_type(f.name)).alias("field_type"), score.alias("confidence"), label.alias("status"), v.colour(label).alias("colour"))
 
-    def labelled(e: Column) -> Column:
-        label = v.status(e["confidence"])
-        return e.withField("status", label).withField("colour", v.colour(label))
+        return once(confidence(F.col(record)[f.name], f.dataType, f.name), labelled)
 
-    return F.transform(once(F.col(record), scored), labelled)
+    return F.array(*map(scored, _own(kind)))
 
 
 def found_count(record: Column, kind: T.StructType) -> Column:
@@ -151,26 +150,20 @@ def verified(df: DataFrame, record: str, as_of: Column) -> DataFrame:
     too."""
     kind = _kind(df, record)
 
-    def checked(rec: Column) -> Column:
-        out = rec
-        for name, pair in pairs(kind).items():
-            inner = kind[name].dataType.elementType
-            other = [n for n in pair.values() if n and not isinstance(inner[n].dataType, T.StringType)]
-            texts = F.transform(rec[name], lambda i, other=other: reduce(lambda a, n: a.withField(n, i[n].cast("string")), other, i)) if other else rec[name]
-            out = out.withField(name, records.verified(texts, pair, as_of))
-        return out
-
-    return df.withColumn(record, once(F.col(record), checked))
+    rec = out = F.col(record)
+    for name, pair in pairs(kind).items():
+        inner = kind[name].dataType.elementType
+        other = [n for n in pair.values() if n and not isinstance(inner[n].dataType, T.StringType)]
+        texts = F.transform(rec[name], lambda i, other=other: reduce(lambda a, n: a.withField(n, i[n].cast("string")), other, i)) if other else rec[name]
+        out = out.withField(name, records.verified(texts, pair, as_of))
+    return df.withColumn(record, out)
 
 
 def findings(df: DataFrame, record: str) -> Column:
     """array of field, rule_code, status, detail: items of lists that lack sub-fields (GENERIC_001; none of a list whose first
     item is null), empty fields (002), verified durations that differ (003). All warn and block nothing. A null record has
     no fields, and so no findings."""
-    return once(F.col(record), lambda rec: _findings(rec, _kind(df, record)))
-
-
-def _findings(rec: Column, kind: T.StructType) -> Column:
+    rec, kind = F.col(record), _kind(df, record)
     shape = "array<struct<field:string,rule_code:string,status:string,detail:string>>"
 
     def one(field: Column, code: str, detail: Column) -> Column:
@@ -180,11 +173,10 @@ def _findings(rec: Column, kind: T.StructType) -> Column:
         inner = f.dataType.elementType
         at = lambda i: F.concat(F.lit(f"{f.name}["), i.cast("string"), F.lit("]"))
 
-        def lacks(x: Column) -> Column:
-            return F.filter(F.array(*(F.when(empty(x[s.name], s.dataType), F.lit(s.name)) for s in _own(inner))), lambda n: n.isNotNull())
-
         def missing(x: Column, i: Column) -> Column:
-            return once(lacks(x), lambda n: F.when(x.isNotNull() & (F.size(n) > 0), one(at(i), "GENERIC_001", F.concat(F.lit("missing: "), F.array_join(n, ", ")))))
+            gone = [(s.name, empty(x[s.name], s.dataType)) for s in _own(inner)]
+            names = F.concat_ws(", ", *(F.when(lacks, F.lit(name)) for name, lacks in gone))
+            return F.when(x.isNotNull() & v.any_of([lacks for _, lacks in gone]), one(at(i), "GENERIC_001", F.concat(F.lit("missing: "), names)))
 
         def differs(x: Column, i: Column) -> Column:
             c = x[CHECK]

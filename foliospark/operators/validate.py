@@ -60,11 +60,13 @@ def confidence(value: Column, kind: Column | str) -> Column:
     def scored(v: Column) -> Column:
         words = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
         text = once(words, lambda n: F.when(n >= 2, 0.85).when((n == 1) & (F.length(v) > 2), 0.7).otherwise(0.5))
-        fits = once(well_formed(v, kind), lambda x: F.when(x.isNull(), text).when(x, 0.95).otherwise(0.4))
-        typed = text if isinstance(kind, str) and kind not in FORMS else fits
+        if isinstance(kind, str):  # a form is never null, so it is asked for once
+            typed = F.when(FORMS[kind](v), 0.95).otherwise(0.4) if kind in FORMS else text
+        else:
+            typed = once(well_formed(v, kind), lambda x: F.when(x.isNull(), text).when(x, 0.95).otherwise(0.4))
         return F.when(F.lower(v).isin(SCORE_MISSING), 0.0).otherwise(typed)
 
-    return F.when(value.isNull(), 0.0).otherwise(once(F.trim(value), scored))
+    return F.when(value.isNull(), 0.0).otherwise(scored(F.trim(value)))
 
 
 def found(score: Column) -> Column:

@@ -127,3 +127,36 @@ def test_scores_read_a_date_once(spark):
     df = spark.createDataFrame([("2024-01-02",)], "d string").select(F.struct(F.col("d").alias("issue_date")).alias("r"))
     plan = df.select(dynamic.scores(df, "r").alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("initcap(") == 1
+
+
+def test_a_record_is_read_once_for_its_scores_and_findings(spark, sf_dir):
+    """No filter asks beforehand whether the list is empty, and the list is a column before it is exploded."""
+    from foliospark.plans import dynamic as plans
+
+    for query in (plans.dynamic_scores, plans.dynamic_rules):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        generate = next(line for line in plan.splitlines() if "Generate " in line)
+        assert "lambda" not in generate and plan.count("from_json(") == 1, plan
+        assert not any("Filter" in line and "aggregate(" in line for line in plan.splitlines()), plan
+
+
+def test_iso_dates_equal_their_format(spark):
+    """A cast reads what the format reads, and nothing else."""
+    from foliospark.functions import dates
+
+    texts = ["2024-01-02", " 2024-1-2 ", "2024-02-30", "2024-13-01", "2024-00-10", "0000-01-01", "0001-01-01", "9999-12-31", "2024-01-02\n", "\t2024-01-02", "2024-01-2x", "٢٠٢٤-٠١-٠٢", "+2024-01-02", "2024-1", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", dates.parsed(F.col("t"), dates.CHECK_FORMATS).cast("string").alias("new"), dates.any_of(F.col("t"), dates.CHECK_FORMATS).cast("string").alias("old")).collect()
+    assert [(r.t, r.new) for r in rows] == [(r.t, r.old) for r in rows]
+    assert [r.t for r in rows if r.new] == ["2024-01-02", " 2024-1-2 ", "0000-01-01", "0001-01-01", "9999-12-31"]
+    assert "gettimestamp" not in df.select(dates.iso(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_text_score_as_before(spark):
+    texts = ["", "a", "ab", "abc", "a b", " a  b ", "\tab\t", "\t\t\t", "a\nb", "a\x0bb", "ab cd", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.s for r in df.select("t", v.confidence(F.col("t"), "text").alias("s")).collect()}
+    for t in texts:
+        x = t.strip(" ")
+        n = len([w for w in x.replace(" ", "_").split() if w])
+        assert got[t] == (0.0 if x == "" else 0.85 if n >= 2 else 0.7 if n == 1 and len(x) > 2 else 0.5), repr(t)
