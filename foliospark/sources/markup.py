@@ -100,7 +100,8 @@ def address6(ip: Column) -> Column:
     def digits(every: Column) -> Column:
         return F.when(F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    sides = lambda s: F.struct(F.size(s).alias("n"), groups(s, 0).alias("head"), groups(s, 1).alias("tail"))
+    # names as literals: beside a generator, aliases that are inside a lambda are lost
+    sides = lambda s: F.named_struct(F.lit("n"), F.size(s), F.lit("head"), groups(s, 0), F.lit("tail"), groups(s, 1))
     plain = F.regexp_replace(F.lower(ip), "%.*$", "")
     return let(let(let(F.split(let(plain, text), "::"), sides), filled), digits)
 

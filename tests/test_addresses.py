@@ -33,3 +33,10 @@ def test_parts_of_a_url_are_worked_out_once(spark):
     """The expression has each part of a URL once, not once for each network and digit."""
     plan = spark.range(1).select(markup.refusal(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract") + plan.count("split(") <= 20 < plan.count("lambda") + 20
+
+
+def test_refusal_beside_a_generator(spark):
+    """A select that also explodes a list gives the same: fields of structs inside lambdas keep their names there."""
+    rows = [("http://[::1]/", ["a", "b"], "address"), ("http://10.0.0.1/", ["a"], "address"), ("https://[2001:db8::1]/x", ["a"], None)]
+    got = spark.createDataFrame(rows, "u string, l array<string>, w string").select("w", markup.refusal(F.col("u")).alias("g"), F.explode("l").alias("e")).collect()
+    assert len(got) == 4 and all(r.g == r.w for r in got), got
