@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.dates import once
+from foliospark.functions.entities import let
 from foliospark.operators.chunk import CHILD, OVERLAP, PARENT, SIZE
 from foliospark.sources.content import SPACE, trimmed
 
@@ -26,7 +26,7 @@ def pieces(text: Column, size: int, unit: str) -> Column:
     def cut(s: Column) -> Column:
         if unit == "token":
             whole = lambda w: F.array(F.struct(s.alias("text"), F.size(w).alias("m")))
-            return once(words(s), lambda w: F.when(F.size(w) <= size, whole(w)).otherwise(F.transform(runs(w), lambda r: F.struct(F.array_join(r, " ").alias("text"), F.size(r).alias("m")))))
+            return let(words(s), lambda w: F.when(F.size(w) <= size, whole(w)).otherwise(F.transform(runs(w), lambda r: F.struct(F.array_join(r, " ").alias("text"), F.size(r).alias("m")))))
         parts = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
         return F.transform(parts, lambda p: F.struct(p.alias("text"), F.length(p).alias("m")))
 
@@ -60,7 +60,7 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, unit: str = "
             kept = F.slice(s["held"], count - t["n"] + 1, t["n"])
             return F.struct((s["first"] + count - t["n"]).alias("first"), F.array_append(kept, m).alias("held"), (t["sum"] + m + gap).alias("sum"), F.lit(True).alias("fresh"), done.alias("out"))
 
-        return once(tail(s["held"], m), begun)
+        return let(tail(s["held"], m), begun)
 
     def step(s: Column, p: Column) -> Column:
         m = p["m"]
@@ -73,7 +73,7 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, unit: str = "
     def joined(p: Column) -> Column:
         return F.transform(F.aggregate(p, begin, step, last), lambda r: F.array_join(F.transform(F.slice(p, r["first"] + 1, r["n"]), lambda x: x["text"]), " "))
 
-    return once(pieces(text, size, unit), joined)
+    return let(pieces(text, size, unit), joined)
 
 
 def family(text: Column, parent: int = PARENT, child: int = CHILD, unit: str = "token") -> Column:
